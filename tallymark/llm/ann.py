@@ -46,16 +46,24 @@ class Forest:
     def candidates(self, q: np.ndarray, enough: int) -> Iterator[np.ndarray]:
         """Rows of the shard for each query."""
         keys = self.keys(np.column_stack((q, np.zeros(len(q)))))
-        low, high = np.zeros((BITS + 1, len(q), self.trees), np.int64), np.zeros((BITS + 1, len(q), self.trees), np.int64)
-        for t in range(self.trees):
-            for x in range(BITS + 1):
-                a = keys[:, t] >> (BITS - x) << (BITS - x)
-                low[x, :, t] = np.searchsorted(self.sorted[:, t], a)
-                high[x, :, t] = np.searchsorted(self.sorted[:, t], a + (1 << (BITS - x)))
-        held = (high - low).sum(2)  # by prefix length and query; falls with the length
+        # A prefix range shrinks as the prefix grows, so the length at which the ascent ends is
+        # the longest at which the ranges of all trees hold enough.
+        low, high = [], []
+        for x in range(BITS + 1):
+            a = keys >> (BITS - x) << (BITS - x)
+            lo = np.column_stack([np.searchsorted(self.sorted[:, t], a[:, t]) for t in range(self.trees)])
+            hi = np.column_stack([np.searchsorted(self.sorted[:, t], a[:, t] + (1 << (BITS - x))) for t in range(self.trees)])
+            low.append(lo)
+            high.append(hi)
+            if ((hi - lo).sum(1) < enough).all():
+                break
+        held = (np.array(high) - np.array(low)).sum(2)
         level = np.maximum((held >= enough).sum(0) - 1, 0)
         for i, x in enumerate(level):
-            yield np.unique(np.concatenate([self.order[low[x, i, t] : high[x, i, t], t] for t in range(self.trees)]))
+            seen = np.zeros(len(self.order), bool)
+            for t in range(self.trees):
+                seen[self.order[low[x][i, t] : high[x][i, t], t]] = True
+            yield np.flatnonzero(seen)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -74,6 +74,7 @@ def templates(counts: DataFrame, depth: int, most_children: int, z: float) -> Da
         c = c.select(F.col("k0").alias("h2"), F.col(f"k{d - 1}").alias("p2"), F.col("seg").alias("s2"), F.when(rare | alike, "*").otherwise(F.col("seg")).alias("to"))
         rows = rows.join(c, (F.col("k0") == F.col("h2")) & (F.col(f"k{d - 1}") == F.col("p2")) & (F.col("seg") == F.col("s2")))
         rows = rows.withColumn(f"k{d}", F.when(F.size("shapes") >= d, F.concat_ws("/", f"k{d - 1}", "to")).otherwise(F.col(f"k{d - 1}"))).drop("h2", "p2", "s2", "to", "seg")
+        rows = settle(rows, "url-level")
     return rows
 
 
