@@ -246,7 +246,7 @@ def a9_paired_flags(spark, d):
     return gen(spark, d).groupBy("config").agg(F.count_if(p & t).alias("preserved"), F.count_if(p & ~t).alias("regressions"), F.count_if(~p & t).alias("improvements"))
 
 
-@query(COHORT_SQL + """, p AS (SELECT o.config, o.obf, z2 AS s FROM obf o JOIN c ON o.id = c.id), g AS (SELECT config, 'passed' AS neg, z AS s FROM gen WHERE passed UNION ALL SELECT config, 'failed', z FROM gen WHERE NOT passed),
+@query(COHORT_SQL + """, p AS (SELECT o.config, o.obf, round(z2, 4) AS s FROM obf o JOIN c ON o.id = c.id), g AS (SELECT config, 'passed' AS neg, round(z, 4) AS s FROM gen WHERE passed UNION ALL SELECT config, 'failed', round(z, 4) FROM gen WHERE NOT passed),
 m AS (SELECT p.config, p.obf, g.neg, avg(CASE WHEN p.s > g.s THEN 1.0::DOUBLE WHEN p.s = g.s THEN 0.5 ELSE 0 END) AS a FROM p JOIN g ON p.config = g.config GROUP BY 1, 2, 3) SELECT config, obf, neg AS negative, round(a, 6) AS auroc FROM m""")
 def a10_negative_matrix(spark, d):
     """AUROC of every variant's cohort against every negative class."""
