@@ -28,7 +28,7 @@ def tpr_at_fpr(df: DataFrame, groups: list[str], score: str, positive: str, limi
     c = score_counts(df.where(F.col(score).isNotNull()), groups, score, positive)
     down = Window.partitionBy(*groups).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.partitionBy(*groups)
-    c = c.select(*groups, (F.sum("pos").over(down) / F.sum("pos").over(all_)).alias("tpr"), (F.sum("neg").over(down) / F.sum("neg").over(all_)).alias("fpr"))
+    c = c.select(*groups, F.try_divide(F.sum("pos").over(down), F.sum("pos").over(all_)).alias("tpr"), F.try_divide(F.sum("neg").over(down), F.sum("neg").over(all_)).alias("fpr"))
     return c.groupBy(*groups).agg(*[F.coalesce(F.max(F.when(F.col("fpr") <= x, F.col("tpr"))), F.lit(0.0)).alias(f"tpr_{i}") for i, x in enumerate(limits)])
 
 

@@ -225,7 +225,7 @@ def a5_auroc(spark, d):
 
 
 @query(f"""WITH {GEN_SQL}, g AS (SELECT config, z, count(*) FILTER (passed) AS p, count(*) FILTER (NOT passed) AS n FROM gen WHERE passed IS NOT NULL GROUP BY 1, 2),
-c AS (SELECT config, sum(p) OVER w * 1.0 / sum(p) OVER (PARTITION BY config) AS tpr, sum(n) OVER w * 1.0 / sum(n) OVER (PARTITION BY config) AS fpr FROM g WINDOW w AS (PARTITION BY config ORDER BY z DESC))
+c AS (SELECT config, sum(p) OVER w * 1.0 / nullif(sum(p) OVER (PARTITION BY config), 0) AS tpr, sum(n) OVER w * 1.0 / nullif(sum(n) OVER (PARTITION BY config), 0) AS fpr FROM g WINDOW w AS (PARTITION BY config ORDER BY z DESC))
 SELECT config, round(coalesce(max(tpr) FILTER (fpr <= 0), 0), 6) AS tpr_0, round(coalesce(max(tpr) FILTER (fpr <= 0.01), 0), 6) AS tpr_1, round(coalesce(max(tpr) FILTER (fpr <= 0.05), 0), 6) AS tpr_2 FROM c GROUP BY 1""")
 def a6_tpr_at_fpr(spark, d):
     x = M.tpr_at_fpr(gen(spark, d).where("passed IS NOT NULL"), ["config"], "z", "passed", (0.0, 0.01, 0.05))
