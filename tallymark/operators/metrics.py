@@ -85,10 +85,14 @@ def bleu(df: DataFrame, keys: list[str], candidate: Column, reference: Column, o
     def grams(x: str, n: int) -> Column:
         return F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
+    def clipped(c: Column, r: Column) -> Column:
+        many = lambda xs, g: F.size(F.filter(xs, lambda y: y == g))
+        return F.aggregate(F.array_distinct(c), F.lit(0), lambda acc, g: acc + F.least(many(c, g), many(r, g)))
+
     logs = F.lit(0.0)
     for n in range(1, order + 1):
         rows = rows.withColumn(f"c{n}", grams("c", n)).withColumn(f"r{n}", grams("r", n))
-        hit = F.aggregate(F.array_distinct(f"c{n}"), F.lit(0), lambda acc, g, n=n: acc + F.least(F.size(F.filter(f"c{n}", lambda y: y == g)), F.size(F.filter(f"r{n}", lambda y: y == g))))
+        hit = clipped(F.col(f"c{n}"), F.col(f"r{n}"))
         add = 0 if n == 1 else 1
         logs = logs + F.log((hit + add + 1e-12) / (F.size(f"c{n}") + add + 1e-12)) / order
     short = F.when(F.size("c") > F.size("r"), 0.0).otherwise(1 - F.size("r") / F.greatest(F.size("c"), F.lit(1)))

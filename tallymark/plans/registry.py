@@ -29,10 +29,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
+    from . import extra  # noqa: F401  (registers its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
 
 
