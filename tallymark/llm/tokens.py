@@ -10,6 +10,7 @@ with the library's on whole tables.
 
 from __future__ import annotations
 
+import gc
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +20,8 @@ import regex
 ODD = regex.compile("[\x1c-\x1f\x85]")
 #: The split pattern of the word vocabulary.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Marks behind a word that the split pattern makes a piece of their own.
+MARKS = ",.;:!?"
 
 
 def _byte_chars() -> list[str]:
@@ -35,17 +38,18 @@ BYTE_CHARS = _byte_chars()
 class ChunkEncoder:
     """ids of texts by the tokenizer file `path`, which drops white space."""
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.most = most
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.clear()
 
     def clear(self) -> None:
+        """Forget the chunks; the pieces have a bound of their own and stay."""
         self.index: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
         self.ids, self.begin, self.used = np.zeros(1 << 16, np.uint32), np.zeros(self.most + 2, np.int64), 0
 
     def _whole(self, text: str) -> list[int]:
@@ -56,13 +60,19 @@ class ChunkEncoder:
         plain = [c.lower() if c.isascii() else self.tok.normalizer.normalize_str(c) for c in chunks]
         ids, ends, pieces, model = [], [], self.pieces, self.tok.model
         for c in plain:
-            for p in PIECE.findall(c):
+            if c.isascii() and c.isalpha():
+                found = (c,)
+            elif c.isascii() and c[-1] in MARKS and c[:-1].isalpha():
+                found = (c[:-1], c[-1])
+            else:
+                found = PIECE.findall(c)
+            for p in found:
                 got = pieces.get(p)
                 if got is None:
-                    if len(pieces) >= self.most // 2:
+                    if len(pieces) >= self.most:
                         pieces.clear()
                     shown = p if p.isascii() and p.isalnum() else "".join([BYTE_CHARS[x] for x in p.encode()])
-                    got = pieces[p] = [t.id for t in model.tokenize(shown)]
+                    got = pieces[p] = tuple([t.id for t in model.tokenize(shown)])
                 ids += got
             ends.append(len(ids))
         first = len(self.index)
@@ -74,7 +84,18 @@ class ChunkEncoder:
         self.used += len(ids)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and the number of ids of each text. Null: none."""
+        """All ids one after the other, and the number of ids of each text. Null: none.
+
+        Without the cycle collector, which would walk the tables again and again; nothing here makes cycles."""
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         out, many, kept = [], np.zeros(len(texts), np.int64), []
 
         def flush() -> None:
