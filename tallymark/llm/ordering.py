@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
-from .tokens import encoder
+from .common import settle, slices, strings
+from .tokens import SLICE, encoder
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -57,9 +57,9 @@ def _sequences(path: str, stride: int, end_id: int):
         enc, nr, part = encoder(path), 0, TaskContext.get().partitionId()
         kind = "<u2" if enc.tok.get_vocab_size() <= 1 << 16 else "<u4"
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                rows, at, some = [], 0, b.slice(a, 256)
-                ids, many = enc.encode(some.column(1).to_pylist())
+            for a, z in slices(strings(b.column(1))[1], SLICE):
+                rows, at, some = [], 0, b.slice(a, z - a)
+                ids, many = enc.encode(some.column(1))
                 for doc, n in zip(some.column(0).to_pylist(), many.tolist()):
                     own = np.append(ids[at : at + n], np.uint32(end_id)).astype(kind)
                     at += n

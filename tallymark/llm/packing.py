@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
-from .tokens import encoder
+from .common import settle, slices, strings
+from .tokens import SLICE, encoder
 
 CAPACITY, GRAIN, END_ID, SALTS = 4096, 16, 2, 256
 
@@ -110,9 +110,9 @@ def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                ids, many = enc.encode(part.column(1).to_pylist())
+            for a, z in slices(strings(b.column(1))[1], SLICE):
+                part = b.slice(a, z - a)
+                ids, many = enc.encode(part.column(1))
                 rows, at = [], 0
                 for doc, n in zip(part.column(0).to_pylist(), many.tolist()):
                     own = np.append(ids[at : at + n], np.uint32(end_id)).astype("<u4")

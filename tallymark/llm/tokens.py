@@ -1,27 +1,31 @@
-"""Token ids of whole texts, with the words' ids remembered.
-
-The vocabularies used here never join characters across white space, so a text's
-ids are those of its white-space separated chunks. Chunks repeat; their ids are
-kept in two bounded tables (chunk, and normalised piece of a chunk), and only
-pieces not seen yet go through the tokenizer. Texts with separators on which
-Python and the tokenizer disagree are encoded whole. tests/llm compares the ids
-with the library's on whole tables.
+"""Token ids of whole texts, with the pieces' ids remembered.
+
+A slice of texts is composed (NFC), lowered, split into the tokenizer's pieces
+(one regular expression) and numbered by Arrow, so that Python sees each distinct
+piece of a slice once. Ids of pieces are kept in one bounded table; only pieces
+that are not in it go through the tokenizer's model. Texts with characters on
+which Arrow and the tokenizer disagree are encoded whole by the tokenizer.
+tests/llm compares the ids with the library's, character by character.
 """
 
 from __future__ import annotations
 
 import gc
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Characters that str.split() takes as white space and the tokenizer may not.
-ODD = regex.compile("[\x1c-\x1f\x85]")
-#: The split pattern of the word vocabulary.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Marks behind a word that the split pattern makes a piece of their own.
-MARKS = ",.;:!?"
+from .common import slices, strings
+
+#: Bytes of text that are split and numbered at a time.
+SLICE = 4 << 20
+#: What the vocabulary's split pattern takes as a piece besides runs of letters (RE2's \s is ASCII only).
+MARKS = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\s\x0b\x{85}\p{Z}\p{L}\p{N}]+)"
+#: Characters that Arrow and the tokenizer lower or split in different ways, and those that Arrow's Unicode tables lack.
+ODD = r"[\x1c-\x1f\x{85}\x{130}\x{3a3}\x{180e}\x{feff}]|[^\pL\pM\pN\pP\pS\pZ\p{Cc}\p{Cf}\p{Co}]"
 
 
 def _byte_chars() -> list[str]:
@@ -35,110 +39,100 @@ def _byte_chars() -> list[str]:
 BYTE_CHARS = _byte_chars()
 
 
-class ChunkEncoder:
-    """ids of texts by the tokenizer file `path`, which drops white space."""
+def composed(texts: pa.Array) -> pa.Array:
+    """The texts in NFC; Arrow's own NFC strips and decomposes."""
+    wide = np.flatnonzero(~pc.fill_null(pc.string_is_ascii(texts), True).to_numpy(zero_copy_only=False))
+    own = texts.take(pa.array(wide)).to_pylist()
+    new = {int(i): unicodedata.normalize("NFC", t) for i, t in zip(wide, own) if not unicodedata.is_normalized("NFC", t)}
+    if not new:
+        return texts
+    return pa.array([new.get(i, t) for i, t in enumerate(texts.to_pylist())], texts.type)
+
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+class PieceEncoder:
+    """ids of texts by the tokenizer file `path`, whose pieces are those of MARKS and runs of letters."""
+
+    def __init__(self, path: str, most: int = 1 << 19) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.most = most
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.tok.encode_special_tokens = True  # a special token written out in a text is text
         self.clear()
 
     def clear(self) -> None:
-        """Forget the chunks; the pieces have a bound of their own and stay."""
         self.index: dict[str, int] = {}
         self.ids, self.begin, self.used = np.zeros(1 << 16, np.uint32), np.zeros(self.most + 2, np.int64), 0
 
     def _whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Give each chunk a number and keep its ids."""
-        plain = [c.lower() if c.isascii() else self.tok.normalizer.normalize_str(c) for c in chunks]
-        ids, ends, pieces, model = [], [], self.pieces, self.tok.model
-        for c in plain:
-            if c.isascii() and c.isalpha():
-                found = (c,)
-            elif c.isascii() and c[-1] in MARKS and c[:-1].isalpha():
-                found = (c[:-1], c[-1])
-            else:
-                found = PIECE.findall(c)
-            for p in found:
-                got = pieces.get(p)
-                if got is None:
-                    if len(pieces) >= self.most:
-                        pieces.clear()
-                    shown = p if p.isascii() and p.isalnum() else "".join([BYTE_CHARS[x] for x in p.encode()])
-                    got = pieces[p] = tuple([t.id for t in model.tokenize(shown)])
-                ids += got
+    def _learn(self, pieces: list[str]) -> None:
+        """Give each piece a number and keep its ids."""
+        ids, ends, tokenize = [], [], self.tok.model.tokenize
+        for p in pieces:
+            if p:
+                ids += [t.id for t in tokenize(p if p.isascii() and p.isprintable() else "".join([BYTE_CHARS[x] for x in p.encode()]))]
             ends.append(len(ids))
         first = len(self.index)
-        self.index.update(zip(chunks, range(first, first + len(chunks))))
+        self.index.update(zip(pieces, range(first, first + len(pieces))))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.begin[first + 1 : first + len(chunks) + 1] = self.used + np.array(ends)
+        self.begin[first + 1 : first + len(pieces) + 1] = self.used + np.array(ends)
         self.used += len(ids)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of ids of each text. Null: none.
 
-        Without the cycle collector, which would walk the tables again and again; nothing here makes cycles."""
+        Without the cycle collector, which would walk the table again and again; nothing here makes cycles."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        _, offsets = strings(column)
         on = gc.isenabled()
         gc.disable()
         try:
-            return self._encode(texts)
+            got = [self._encode(column.slice(a, b - a).cast(pa.large_string())) for a, b in slices(offsets, SLICE)]
         finally:
             if on:
                 gc.enable()
-
-    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        out, many, kept = [], np.zeros(len(texts), np.int64), []
-
-        def flush() -> None:
-            """Ids of the chunks gathered so far."""
-            rows, chunks = [r for r, _ in kept], [c for _, cs in kept for c in cs]
-            new = set(chunks).difference(self.index)
-            if len(self.index) + len(new) > self.most:
-                self.clear()
-                new = set(chunks)
-            if len(new) > self.most:
-                self.begin = np.zeros(len(new) + 2, np.int64)
-            if new:
-                self._learn(list(new))
-            k = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-            b = self.begin[k]
-            n = self.begin[k + 1] - b
-            total = int(n.sum())
-            out.append(self.ids[np.repeat(b - np.cumsum(n) + n, n) + np.arange(total)])
-            np.add.at(many, np.repeat(rows, [len(cs) for _, cs in kept]), n)
-            kept.clear()
-
-        size = 0
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if ODD.search(text):
-                if kept:
-                    flush()
-                got = np.array(self._whole(text), np.uint32)
-                out.append(got)
-                many[i] = len(got)
-                continue
-            kept.append((i, text.split()))
-            size += len(kept[-1][1])
-            if size >= 1 << 16:
-                flush()
-                size = 0
-        if kept:
-            flush()
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), many
+        if not got:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.concatenate([ids for ids, _ in got]), np.concatenate([many for _, many in got])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """One slice: Arrow splits it and numbers its distinct pieces, so that Python sees each of them once."""
+        odd = pc.fill_null(pc.match_substring_regex(texts, ODD), False)
+        plain = pc.if_else(odd, pa.scalar("", pa.large_string()), texts)
+        lists = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(composed(plain)), MARKS, r" \1 "))
+        pieces = lists.flatten().dictionary_encode()
+        own = pieces.dictionary.to_pylist()
+        new = [c for c in own if c not in self.index]
+        if len(self.index) + len(new) > self.most:
+            self.clear()
+            new = own
+        if len(new) > self.most:
+            self.begin = np.zeros(len(new) + 2, np.int64)
+        if new:
+            self._learn(new)
+        k = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))[pieces.indices.to_numpy()]
+        b = self.begin[k]
+        n = self.begin[k + 1] - b
+        ends = np.concatenate(([0], np.cumsum(n)))
+        ids = self.ids[np.repeat(b - ends[:-1], n) + np.arange(ends[-1])]
+        at = ends[np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())))]
+        many = np.diff(at)
+        parts, since = [], 0
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            whole = np.array(self._whole(texts[i].as_py()), np.uint32)
+            many[i] = len(whole)
+            parts += [ids[at[since] : at[i]], whole]
+            since = i
+        if parts:
+            ids = np.concatenate([*parts, ids[at[since] :]])
+        return ids, many
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> PieceEncoder:
     """One for each Python worker; it outlives a task."""
-    return ChunkEncoder(path)
+    return PieceEncoder(path)
