@@ -13,6 +13,7 @@ from __future__ import annotations
 import gc
 import unicodedata
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -106,19 +107,25 @@ class PieceEncoder:
         lists = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(composed(plain)), MARKS, r" \1 "))
         pieces = lists.flatten().dictionary_encode()
         own = pieces.dictionary.to_pylist()
-        new = [c for c in own if c not in self.index]
-        if len(self.index) + len(new) > self.most:
+        k = np.fromiter(map(self.index.get, own, repeat(-1)), np.int64, len(own))
+        miss = np.flatnonzero(k < 0)
+        if len(self.index) + len(miss) > self.most:
             self.clear()
-            new = own
-        if len(new) > self.most:
-            self.begin = np.zeros(len(new) + 2, np.int64)
-        if new:
-            self._learn(new)
-        k = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))[pieces.indices.to_numpy()]
-        b = self.begin[k]
-        n = self.begin[k + 1] - b
+            miss = np.arange(len(own))
+        if len(miss) > self.most:
+            self.begin = np.zeros(len(miss) + 2, np.int64)
+        if len(miss):
+            k[miss] = len(self.index) + np.arange(len(miss))
+            self._learn([own[i] for i in miss.tolist()])
+        # the ids of the distinct pieces one after the other: a small table, the frequent pieces in front
+        b, n = self.begin[k], self.begin[k + 1] - self.begin[k]
+        first = np.cumsum(n) - n
+        local = self.ids[np.repeat(b - first, n) + np.arange(n.sum())]
+        at = pieces.indices.to_numpy()
+        n = n[at]
         ends = np.concatenate(([0], np.cumsum(n)))
-        ids = self.ids[np.repeat(b - ends[:-1], n) + np.arange(ends[-1])]
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        ids = local[np.repeat(first[at].astype(kind) - ends[:-1].astype(kind), n) + np.arange(ends[-1], dtype=kind)]
         at = ends[np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())))]
         many = np.diff(at)
         parts, since = [], 0
