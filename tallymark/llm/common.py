@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only where the session names no folder of its own (tests on one machine).
+#: Only where the session names no folder of its own and is one machine (tests).
 FALLBACK_DIR = "/tmp/checkpoints/tallymark"
 
 
@@ -18,7 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    master = spark.conf.get("spark.master", "local")
+    if master == "local" or master.startswith("local["):
+        return FALLBACK_DIR
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def settle(df: DataFrame, tag: str) -> DataFrame:
@@ -29,7 +34,16 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def forget(*settled: DataFrame) -> None:
+    """Delete tables of settle() that nothing unwritten reads any more."""
+    for df in settled:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import forget, settle
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: u and its lower neighbours go under the least of them
         down = big.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = big.join(down, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = settle(small, "links")
+        last, e = e, settle(small, "links")
+        forget(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == seen or not now[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
