@@ -1,27 +1,40 @@
 """URL filters: stated rules first, a path-template tree for the rest.
 
-The tree: a path's segments become shapes (digits or long tokens: ``*``, a file
-extension stays), so that all later steps work on counts by (host, shape path).
-Level by level under each host, a segment is generalised to ``*`` where its
-parent has more than ``most_children`` children and it holds under a tenth of
-the parent's pages; then siblings whose labelled share does not differ from their
-siblings' pooled share (two-proportion test, ``z``) are merged into one branch.
-The urls that a rule fits are the labels (block or allow). A template's smoothed
-share of blocked labels takes its parent's as its prior, down from the whole
-table's; a template of ``reject`` or more that holds labelled urls itself is
-blocked. A template without labels is never rejected on its relatives' account.
+The tree: a path's segments become shapes (with a digit or 24 characters: ``*``, a
+file extension stays), and all later steps work on counts by (host, shape path).
+From the host down, at the first place where the paths of a node differ:
+
+1. a segment that fewer than the square root of the node's pages have is variable
+   and becomes the wildcard ``*``, so a node of N pages keeps at most sqrt(N) others;
+2. sibling branches that two-proportion tests (``z``) cannot tell apart are merged,
+   and with them those that are alike in turn. Compared are the share of pages that
+   end at the branch and, if both hold labelled urls, the share of blocked ones.
+   Where labels lack it is the structure alone that decides;
+3. a node of which one shape path is left is a template. There is no other limit
+   of depth.
+
+The urls that a rule fits are the labels (block or allow). A node's smoothed share
+of blocked labels has its parent's as its prior of ``weight`` labels, down from the
+whole table's, so a node without labels has its parent's purity. A template of
+``reject`` or more is blocked if the nearest node above it (or it itself) that holds
+labels holds ``support`` of them at least. Hosts without labels are allowed.
 
 A url that is null or without ``://`` has an empty host and path, fits no rule
-and belongs to the tree like any other. Repeated rows each get a row. Every step
-is an aggregate (combined before the shuffle) or an equi-join.
+and belongs to the tree like any other. Repeated rows each get a row. Rules of one
+length: the one with the longer host. Every step is an aggregate (combined before the shuffle)
+or an equi-join; only the branches of one node, sqrt(N) at most, meet in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import forget, settle
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -45,53 +58,116 @@ def fitting(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def shape(path: Column, depth: int) -> Column:
-    """The first `depth` segments as shapes; what is below them is one more segment."""
+def shape(path: Column) -> Column:
+    """The path's segments as shapes; none for an empty path."""
     def one(s: Column) -> Column:
         ext = F.regexp_extract(s, r"(\.[A-Za-z]{1,5})$", 1)
         return F.when(s.rlike(r"\d") | (F.length(s) >= 24), F.concat(F.lit("*"), ext)).otherwise(s)
 
-    parts = F.transform(F.split(F.substring(path, 2, F.length(path)), "/"), one)
-    return F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
-
-
-def templates(counts: DataFrame, depth: int, most_children: int, z: float) -> DataFrame:
-    """host, shapes, n, labelled, blocked -> the same with keys k1..k(depth+1): the path's nodes in the merged tree."""
-    rows = counts.withColumn("k0", F.col("host"))
-    for d in range(1, depth + 2):
-        rows = rows.withColumn("seg", F.coalesce(F.get("shapes", F.lit(d - 1)), F.lit("")))
-        sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-        child = rows.groupBy("k0", f"k{d - 1}", "seg").agg(*sums) if d > 1 else rows.groupBy("k0", "seg").agg(*sums).withColumn("k0", F.col("k0"))
-        up = [F.col("k0").alias("h"), F.col(f"k{d - 1}").alias("p")]
-        parent = child.groupBy("k0", *([f"k{d - 1}"] if d > 1 else [])).agg(F.sum("n").alias("pn"), F.sum("labelled").alias("pl"), F.sum("blocked").alias("pb"), F.count("*").alias("children")).select(*up, "pn", "pl", "pb", "children")
-        c = child.join(parent, (F.col("k0") == F.col("h")) & (F.col(f"k{d - 1}") == F.col("p")))
-        rare = (F.col("children") > most_children) & (F.col("n") * 10 < F.col("pn"))
-        rest_l, rest_b = F.col("pl") - F.col("labelled"), F.col("pb") - F.col("blocked")
-        pool = F.col("pb") / F.greatest("pl", F.lit(1))
-        gap = F.abs(F.col("blocked") / F.greatest("labelled", F.lit(1)) - rest_b / F.greatest(rest_l, F.lit(1)))
-        error = F.sqrt(pool * (1 - pool) * (1 / F.greatest("labelled", F.lit(1)) + 1 / F.greatest(rest_l, F.lit(1))))
-        alike = (F.col("labelled") > 0) & (rest_l > 0) & (gap <= z * error) & (F.col("seg") != "")
-        c = c.select(F.col("k0").alias("h2"), F.col(f"k{d - 1}").alias("p2"), F.col("seg").alias("s2"), F.when(rare | alike, "*").otherwise(F.col("seg")).alias("to"))
-        rows = rows.join(c, (F.col("k0") == F.col("h2")) & (F.col(f"k{d - 1}") == F.col("p2")) & (F.col("seg") == F.col("s2")))
-        rows = rows.withColumn(f"k{d}", F.when(F.size("shapes") >= d, F.concat_ws("/", f"k{d - 1}", "to")).otherwise(F.col(f"k{d - 1}"))).drop("h2", "p2", "s2", "to", "seg")
-        rows = settle(rows, "url-level")
-    return rows
-
-
-def judge(pages: DataFrame, rules=RULES, depth: int = 3, most_children: int = 12, z: float = 1.96, weight: float = 2.0, reject: float = 0.5) -> DataFrame:
+    some = F.transform(F.split(F.substring(path, 2, F.length(path)), "/"), one)
+    return F.when(path == "", F.array().cast("array<string>")).otherwise(some)
+
+
+def alike(a: int, n: int, b: np.ndarray, m: np.ndarray, z: float) -> np.ndarray:
+    """Whether a of n and b of m may be of one share (two-proportion test); true where m is 0."""
+    m1 = np.maximum(m, 1)
+    pool = (a + b) / np.maximum(n + m, 1)
+    return (np.abs(a / max(n, 1) - b / m1) <= z * np.sqrt(pool * (1 - pool) * (1 / max(n, 1) + 1 / m1)) + 1e-12) | (m == 0)
+
+
+def merged(n: np.ndarray, ends: np.ndarray, labelled: np.ndarray, blocked: np.ndarray, z: float) -> np.ndarray:
+    """For sibling branches the least number of a branch that each is merged with."""
+    root = np.arange(len(n))
+    for i in range(len(n)):
+        like = alike(ends[i], n[i], ends, n, z)
+        if labelled[i]:
+            like &= alike(blocked[i], labelled[i], blocked, labelled, z)
+        own = np.unique(root[like | (np.arange(len(n)) == i)])
+        if len(own) > 1:
+            root[np.isin(root, own)] = own[0]
+    return root
+
+
+def _merge(z: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """node, segs (struct of to, n, ends, labelled, blocked; in order): a row for each node."""
+        for b in batches:
+            node, to, name = [], [], []
+            for k, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n, e, l, x = (np.array([s[f] for s in segs], np.int64) for f in ("n", "ends", "labelled", "blocked"))
+                root = merged(n, e, l, x, z)
+                many = np.bincount(root, minlength=len(n))
+                for s, r in zip(segs, root.tolist()):
+                    node.append(k)
+                    to.append(s["to"])
+                    name.append(segs[r]["to"] if many[r] == 1 else f"{{{segs[r]['to']}+{many[r] - 1}}}")
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(to, pa.string()), pa.array(name, pa.string())], ["node2", "to2", "name"])
+
+    return run
+
+
+def templates(counts: DataFrame, z: float, weight: float, prior: float) -> list[DataFrame]:
+    """Written tables of host, shapes, template, purity, held (labels of the nearest node with any).
+
+    counts: host, shapes, n, labelled, blocked.
+    """
+    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+    smooth = lambda b, l, p: (b + weight * p) / (l + weight)
+    hosts = counts.groupBy(F.col("host").alias("host2")).agg(F.sum("labelled").alias("hl"), F.sum("blocked").alias("hb"))
+    rows = counts.join(hosts, F.col("host") == F.col("host2")).withColumn("node", F.xxhash64("host")).withColumn("template", F.lit("")).withColumn("rest", F.col("shapes"))
+    rows = rows.withColumn("purity", smooth(F.col("hb"), F.col("hl"), F.lit(prior))).withColumn("held", F.col("hl")).drop("host2", "hl", "hb")
+    rows, done = settle(rows, "url-nodes"), []
+    while True:
+        # skip: how far all the node's paths go on alike
+        nodes = rows.groupBy("node").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.sum("n").alias("pages"))
+        apart = F.expr("array_position(zip_with(lo, hi, (a, b) -> a <=> b), false)")
+        skip = F.when(apart > 0, apart - 1).otherwise(F.least(F.size("lo"), F.size("hi")))
+        nodes = nodes.select(F.col("node").alias("node2"), (F.col("lo") == F.col("hi")).alias("one"), "pages", skip.cast("int").alias("skip"))
+        j = settle(rows.join(nodes, F.col("node") == F.col("node2")).drop("node2"), "url-level")
+        common = F.expr("concat(template, concat_ws('', transform(slice(rest, 1, skip), x -> concat('/', x))))")
+        done.append(settle(j.where("one").select("host", "shapes", common.alias("template"), "purity", "held"), "url-templates"))
+        # stays: the path has a segment more, else it ends at the node
+        more = j.where("NOT one").withColumn("template", common).withColumn("seg", F.coalesce(F.get("rest", F.col("skip")), F.lit(""))).withColumn("stays", F.expr("size(rest) > skip"))
+        ends = F.when(F.expr("size(rest) <= skip + 1"), F.col("n")).otherwise(0)
+        child = more.withColumn("ends", ends).groupBy("node", "stays", "seg", "pages").agg(*sums, F.sum("ends").alias("ends"))
+        child = child.withColumn("to", F.when(F.col("stays") & (F.col("n") * F.col("n") < F.col("pages")), "*").otherwise(F.col("seg")))
+        to = settle(child.select("node", "stays", "seg", "to", "n", "ends", "labelled", "blocked"), "url-children")
+        kinds = to.where("stays").groupBy("node", "to").agg(*sums, F.sum("ends").alias("ends"))
+        # sqrt(pages) + 1 branches of a node at most
+        sets = kinds.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("to", "n", "ends", "labelled", "blocked"))).alias("segs")).where("size(segs) > 1")
+        names = sets.mapInArrow(_merge(z), "node2 long, to2 string, name string")
+        named = to.join(names, (F.col("node") == F.col("node2")) & (F.col("to") == F.col("to2")) & F.col("stays"), "left").withColumn("name", F.when(F.col("stays"), F.coalesce("name", "to")).otherwise(F.lit("")))
+        named = settle(named.select("node", "stays", "seg", "name", "labelled", "blocked"), "url-names")
+        labels = named.groupBy(F.col("node").alias("node3"), F.col("stays").alias("stays3"), F.col("name").alias("name3")).agg(F.sum("labelled").alias("bl"), F.sum("blocked").alias("bb"))
+        of = named.join(labels, (F.col("node") == F.col("node3")) & (F.col("name") == F.col("name3")) & (F.col("stays") == F.col("stays3"))).select(F.col("node").alias("node4"), F.col("stays").alias("stays4"), F.col("seg").alias("seg4"), "name", "bl", "bb")
+        down = more.join(of, (F.col("node") == F.col("node4")) & (F.col("seg") == F.col("seg4")) & (F.col("stays") == F.col("stays4")))
+        down = down.withColumn("purity", smooth(F.col("bb"), F.col("bl"), F.col("purity"))).withColumn("held", F.when(F.col("bl") > 0, F.col("bl")).otherwise(F.col("held")))
+        down = down.withColumn("template", F.when(F.col("stays"), F.concat("template", F.lit("/"), "name")).otherwise(F.col("template"))).withColumn("node", F.xxhash64("node", "stays", "name"))
+        down = down.withColumn("rest", F.expr("slice(rest, skip + 2, size(rest))"))
+        after = settle(down.select("host", "shapes", "rest", "n", "labelled", "blocked", "node", "template", "purity", "held", "stays"), "url-nodes")
+        done.append(settle(after.where("NOT stays").select("host", "shapes", "template", "purity", "held"), "url-templates"))
+        forget(j, to, named, rows)
+        rows = settle(after.where("stays").drop("stays"), "url-nodes")
+        forget(after)
+        if not rows.limit(1).count():
+            forget(rows)
+            return done
+
+
+def judge(pages: DataFrame, rules=RULES, z: float = 1.96, weight: float = 2.0, reject: float = 0.5, support: int = 5) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity for every row of pages."""
     host, path = host_path(F.col("url").cast("string"))
     p = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = fitting(F.col("host"), F.col("path"), rules)
-    p = p.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("shapes", shape(F.col("path"), depth))
-    counts = p.groupBy("host", "shapes").agg(F.count("*").alias("n"), F.count("rule").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
-    tree = settle(templates(settle(counts, "url-shapes"), depth, most_children, z), "url-templates")
-    whole = tree.agg(F.sum("blocked").alias("wb"), F.sum("labelled").alias("wl")).select((F.coalesce("wb", F.lit(0)) / F.greatest(F.coalesce("wl", F.lit(0)), F.lit(1))).alias("purity"))
-    rows = tree.crossJoin(F.broadcast(whole)).withColumn("own", F.lit(0))  # one row
-    for d in range(depth + 2):  # each level's share, smoothed with its parent's
-        node = tree.groupBy(F.col("k0").alias("h"), *([F.col(f"k{d}").alias("k")] if d else [])).agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
-        on = (F.col("k0") == F.col("h")) & ((F.col(f"k{d}") == F.col("k")) if d else F.lit(True))
-        rows = rows.join(node, on).withColumn("purity", (F.col("b") + weight * F.col("purity")) / (F.col("l") + weight)).withColumn("own", F.col("l")).drop("h", "k", "b", "l")
-    known = settle(rows.select(F.col("host").alias("h"), F.col("shapes").alias("s"), F.col(f"k{depth + 1}").alias("template"), "purity", "own"), "url-purity")
+    p = p.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("shapes", shape(F.col("path")))
+    counts = settle(p.groupBy("host", "shapes").agg(F.count("*").alias("n"), F.count("rule").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked")), "url-shapes")
+    whole = counts.agg(F.sum("blocked"), F.sum("labelled")).first()
+    found = templates(counts, z, weight, (whole[0] or 0) / max(whole[1] or 0, 1))
+    known = found[0]
+    for f in found[1:]:
+        known = known.union(f)
+    known = settle(known.select(F.col("host").alias("h"), F.col("shapes").alias("s"), "template", "purity", "held"), "url-purity")
+    forget(counts, *found)
     out = p.join(known, (F.col("host") == F.col("h")) & (F.col("shapes") == F.col("s")))
-    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when((F.col("own") > 0) & (F.col("purity") >= reject), "block").otherwise("allow")).alias("verdict"), "template", "purity")
+    own = F.when((F.col("held") >= support) & (F.col("purity") >= reject), "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "template", "purity")
