@@ -43,8 +43,8 @@ class Forest:
         bits = (lifted.astype(np.float32) @ self.planes > 0).reshape(len(lifted), self.trees, BITS)
         return (bits * (np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64))).sum(2).astype(np.int64)
 
-    def candidates(self, q: np.ndarray, enough: int) -> Iterator[np.ndarray]:
-        """Rows of the shard for each query."""
+    def candidates(self, q: np.ndarray, enough: int, least: int) -> Iterator[np.ndarray]:
+        """Rows of the shard for each query: ranges of `enough` entries, and `least` rows (or all)."""
         keys = self.keys(np.column_stack((q, np.zeros(len(q)))))
         # A prefix range shrinks as the prefix grows, so the length at which the ascent ends is
         # the longest at which the ranges of all trees hold enough.
@@ -60,10 +60,15 @@ class Forest:
         held = (np.array(high) - np.array(low)).sum(2)
         level = np.maximum((held >= enough).sum(0) - 1, 0)
         for i, x in enumerate(level):
-            seen = np.zeros(len(self.order), bool)
-            for t in range(self.trees):
-                seen[self.order[low[x][i, t] : high[x][i, t], t]] = True
-            yield np.flatnonzero(seen)
+            while True:
+                seen = np.zeros(len(self.order), bool)
+                for t in range(self.trees):
+                    seen[self.order[low[x][i, t] : high[x][i, t], t]] = True
+                found = np.flatnonzero(seen)
+                if len(found) >= least or x == 0:  # trees that agree hold one vector many times: ascend further
+                    break
+                x -= 1
+            yield found
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -80,7 +85,7 @@ def _search(k: int, trees: int, share: float, norms: dict[int, float]):
             forest = Forest(x, norms[x.shape[1]], trees, 1)
             xid, qid = left["id"].to_numpy(), right["id"].to_numpy()
             enough = max(4 * k, int(np.ceil(share * len(x) * trees)))
-            for i, c in enumerate(forest.candidates(q, enough)):
+            for i, c in enumerate(forest.candidates(q, enough, k + 1)):
                 s = (x[c] * q[i]).sum(1)
                 if len(c) > 2 * k + 1:
                     cut = np.partition(s, len(s) - k - 1)[len(s) - k - 1]

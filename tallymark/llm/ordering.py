@@ -7,7 +7,8 @@ and cycle-walking (applying it again while the value is N or more) makes it a
 permutation of 0..N-1: every sequence gets a global slot without a sort or any
 state to keep. Range partitions by shard write the slots in order as records of
 fixed size (stride ids, padded with ``pad_id``), ``shard_rows`` records to a
-shard: slot s is in shard s div shard_rows at byte (s mod shard_rows) x record,
+shard, whose bytes are one value of a Parquet row: slot s is in shard s div
+shard_rows at byte (s mod shard_rows) x record of that value,
 so a reader starts anywhere (``resume``).
 
 A null or empty text is the end id alone. Repeated rows and null doc_ids are
@@ -118,8 +119,12 @@ def materialise(docs: DataFrame, tokenizer: str, key: int = 17, stride: int = 10
     return index, shards
 
 
-def resume(shards: DataFrame, slot: int, stride: int = 1024, width: int = 2) -> DataFrame:
-    """slot, record (stride ids as bytes) from the given slot on; earlier shards are not read."""
+def resume(shards: DataFrame, slot: int, stride: int = 1024, width: int = 2, shard_rows: int = 2048) -> DataFrame:
+    """slot, record (stride ids as bytes) from the given slot on.
+
+    The shards are in ranges, one to a part file, so the filter on the shard is pushed to
+    the scan: of files with earlier shards only the footer is read.
+    """
     record = stride * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,4 +134,4 @@ def resume(shards: DataFrame, slot: int, stride: int = 1024, width: int = 2) ->
                 own = range(skip, many)
                 yield pa.RecordBatch.from_arrays([pa.array([first + k for k in own], pa.int64()), pa.array([data[k * record : (k + 1) * record] for k in own], pa.binary())], ["slot", "record"])
 
-    return shards.where(F.col("first_slot") + F.col("records") > slot).select("first_slot", "records", "bytes").mapInArrow(run, "slot long, record binary")
+    return shards.where(F.col("shard") >= slot // shard_rows).select("first_slot", "records", "bytes").mapInArrow(run, "slot long, record binary")

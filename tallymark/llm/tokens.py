@@ -4,13 +4,15 @@ A slice of texts is composed (NFC), lowered, split into the tokenizer's pieces
 (one regular expression) and numbered by Arrow, so that Python sees each distinct
 piece of a slice once. Ids of pieces are kept in one bounded table; only pieces
 that are not in it go through the tokenizer's model. Texts with characters on
-which Arrow and the tokenizer disagree are encoded whole by the tokenizer.
+which Arrow and the tokenizer disagree, or with an added token written out, are
+encoded whole by the tokenizer.
 tests/llm compares the ids with the library's, character by character.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import unicodedata
 from functools import lru_cache
 from itertools import repeat
@@ -58,7 +60,8 @@ class PieceEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.most = most
-        self.tok.encode_special_tokens = True  # a special token written out in a text is text
+        own = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.odd = "|".join([ODD, *(f"(?i:{t})" for t in own)])  # an added token written out in a text is that token
         self.clear()
 
     def clear(self) -> None:
@@ -102,7 +105,7 @@ class PieceEncoder:
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """One slice: Arrow splits it and numbers its distinct pieces, so that Python sees each of them once."""
-        odd = pc.fill_null(pc.match_substring_regex(texts, ODD), False)
+        odd = pc.fill_null(pc.match_substring_regex(texts, self.odd), False)
         plain = pc.if_else(odd, pa.scalar("", pa.large_string()), texts)
         lists = pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(composed(plain)), MARKS, r" \1 "))
         pieces = lists.flatten().dictionary_encode()
