@@ -46,10 +46,14 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int = 3) -> np.nd
     """A bit is 1 if it is set in over half of the text's shingle hashes."""
     buf, start, length, first = split_words(data, offsets)
     s, n, many = shingles(start, length, first, width)
+    return majority(xxh64(buf, s, n) if len(s) else np.zeros(0, np.uint64), many)
+
+
+def majority(h: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """For texts of so many hashes each: the bits that are set in over half of them."""
     out = np.zeros(len(many), np.uint64)
-    if not len(s):
+    if not len(h):
         return out
-    h = xxh64(buf, s, n)
     full = np.flatnonzero(many)
     begin = np.concatenate(([0], np.cumsum(many[full])[:-1]))
     parts = -(-many[full] // 255)  # bytes count up to 255 shingles
@@ -104,10 +108,11 @@ class BkForest:
         self.edge = edge[self.child]
         self.begin = np.searchsorted(parent[self.child], np.arange(n + 1))
 
-    def links(self, radius: int, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (i, j), j < i, of one shard within the radius, a block of queries at a time."""
-        for q0 in range(0, len(self.value), most):
-            q = np.arange(q0, min(q0 + most, len(self.value)))
+    def links(self, radius: int, most: int = 1 << 16, asked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (i, j) of one shard within the radius, a block of queries at a time: j < i, or for the asked members i all others j."""
+        whole = np.arange(len(self.value)) if asked is None else asked
+        for q0 in range(0, len(whole), most):
+            q = whole[q0 : q0 + most]
             stack = [(q, self.root[q])]
             while stack:
                 q, node = stack.pop()
@@ -116,7 +121,7 @@ class BkForest:
                     stack += [(q[:half], node[:half]), (q[half:], node[half:])]
                     continue
                 d = np.bitwise_count(self.value[q] ^ self.value[node]).astype(np.int64)
-                near = (d <= radius) & (node < q)
+                near = (d <= radius) & ((node < q) if asked is None else (node != q))
                 if near.any():
                     yield q[near], node[near]
                 many = self.begin[node + 1] - self.begin[node]
