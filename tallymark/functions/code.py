@@ -6,6 +6,7 @@ Column expressions where Spark's functions can say it; Arrow-batched pandas func
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -42,17 +43,13 @@ def balanced_end(code: str, start: int = 0) -> int | None:
     return None
 
 
-def dedent_cut(code: str) -> str:
-    """A Python completion up to the first non-blank line that leaves the indentation of its first indented line's block."""
-    kept, inside = [], False
-    for line in code.split("\n"):
-        if line.strip():
-            deep = line[0] in " \t"
-            if inside and not deep:
-                break
-            inside = inside or deep
-        kept.append(line)
-    return "\n".join(kept).rstrip()
+def debt_end(code: str, start: int = 0, debt: int = 1) -> int | None:
+    """The end (exclusive) of the character that pays off so many open braces from `start` on; every brace counts."""
+    for m in re.finditer("[{}]", code[start:]):
+        debt += 1 if m[0] == "{" else -1
+        if debt == 0:
+            return start + m.end()
+    return None
 
 
 @F.pandas_udf(T.StringType())
@@ -62,8 +59,42 @@ def brace_cut(code: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def python_cut(code: pd.Series) -> pd.Series:
-    return code.map(dedent_cut, na_action="ignore")
+def paid_off(code: pd.Series) -> pd.Series:
+    """A completion up to the brace that closes the one its prompt left open; unchanged if none does."""
+    return code.map(lambda c: c[: debt_end(c)].rstrip(), na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def entry_block(code: pd.Series, entry: pd.Series) -> pd.Series:
+    """A program up to the end of its entry point's block; unchanged without one."""
+
+    def cut(c: str, name: str) -> str:
+        at = c.find(name)
+        opens = c.find("{", at + 1) if name and at >= 0 else -1
+        return c[: debt_end(c, opens + 1)].rstrip() if opens >= 0 and debt_end(c, opens + 1) else c
+
+    return pd.Series([None if c is None or e is None else cut(c, e) for c, e in zip(code, entry)], dtype=object)
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"\s+$", "")
+
+
+#: A line break before anything but a tab, a comment, a line break or a space: where a Python block ends.
+LEAVES = "\n(?=[^\t#\n ])"
+
+
+def python_cut(code: Column) -> Column:
+    """A completion up to where it leaves its block."""
+    return stripped(F.get(F.split(code, LEAVES, 2), F.lit(0)))
+
+
+def python_entry(code: Column, entry: Column) -> Column:
+    """A program up to where the entry point's block ends; unchanged without the entry point or an end."""
+    at = F.instr(code, entry)
+    head, rest = F.substring(code, F.lit(1), at), F.substring(code, at + 1, F.length(code))
+    ends = (entry != "") & (at > 0) & rest.rlike(LEAVES)
+    return F.when(ends, stripped(F.concat(head, F.get(F.split(rest, LEAVES, 2), F.lit(0))))).otherwise(code)
 
 
 def fence(text: Column) -> Column:
@@ -74,12 +105,15 @@ def fence(text: Column) -> Column:
     return F.struct(F.when(has, F.lower(lang)).alias("language"), F.when(has, code).alias("code"))
 
 
-def solution(text: Column, prompt: Column, language: Column, chat: Column) -> Column:
-    """Chat models: the first fenced block (else the whole reply). Base models: the prompt and its completion,
-    cut where the indentation ends (py) or where the braces balance (js, cpp)."""
-    whole = F.concat(prompt, text)
-    base = F.when(language == "py", F.concat(prompt, python_cut(text))).otherwise(brace_cut(whole))
-    return F.when(chat, F.coalesce(fence(text)["code"], text)).otherwise(base)
+def solution(text: Column, prompt: Column, language: Column, chat: Column, entry: Column) -> Column:
+    """A program from a completion. Chat models (the prompt opens the fence): what stands before the closing
+    fence, up to the end of the entry point's block. Base models: the prompt and its completion, up to where it
+    leaves the block (py) or pays off the brace that the prompt left open (js, cpp)."""
+    own = stripped(text)
+    before = F.get(F.split(own, "\n```", 2), F.lit(0))
+    fenced = F.when(F.contains(own, F.lit("\n```")), before).otherwise(F.get(F.split(own, "```", 2), F.lit(0)))
+    base = F.concat(prompt, F.when(language == "py", python_cut(own)).otherwise(paid_off(own)))
+    return F.when(chat, F.when(language == "py", python_entry(fenced, entry)).otherwise(entry_block(fenced, entry))).otherwise(base)
 
 
 def after_first(text: Column, marker: str) -> Column:

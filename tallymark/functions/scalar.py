@@ -31,9 +31,10 @@ def z_score(green: Column, total: Column, gamma: float = 0.5) -> Column:
     return F.when(total >= 1, (green - gamma * t) / F.sqrt(t * gamma * (1 - gamma)))
 
 
-def pass_at_k(n: Column, c: Column, k: int) -> Column:
+def pass_at_k(n: Column, c: Column, k: Column | int) -> Column:
     """1 - C(n - c, k) / C(n, k); 1 if fewer than k fail, 0 if none passes."""
-    some = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0), lambda acc, i: acc * (1 - F.lit(float(k)) / i))
+    k = F.lit(k) if isinstance(k, int) else k
+    some = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0), lambda acc, i: acc * (1 - k.cast("double") / i))
     return F.when(c == 0, 0.0).when(n - c < k, 1.0).otherwise(1 - some)
 
 

@@ -33,8 +33,8 @@ def context(toks: Column, i: Column, n: int) -> Column:
 
 def md5_green(gamma: float = 0.5, key: str = "k") -> Callable[[Column, Column], Column]:
     """Green if the first four hex digits of md5(key|context|token) are under gamma of their range."""
-    most = int(gamma * 65536)
-    return lambda ctx, tok: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(key), ctx, tok)), 1, 4), 16, 10).cast("int") < most
+    most = int(gamma * 65536)  # four hex digits compare as text as they do as numbers
+    return lambda ctx, tok: F.substring(F.md5(F.concat_ws("|", F.lit(key), ctx, tok)), 1, 4) < (f"{most:04x}" if most < 65536 else "g")
 
 
 def positions(toks: Column, start: Column | int) -> Column:
@@ -47,18 +47,20 @@ def green_mask(toks: Column, n: int, prf=None, start: Column | int | None = None
     return let(toks, lambda t: F.transform(positions(t, n - 1 if start is None else start), lambda i: prf(context(t, i, n), F.get(t, i))))
 
 
-def scored(df: DataFrame, mask: Column, gamma: float = 0.5, threshold: float = 4.0, by: str = "mask") -> DataFrame:
-    """df with n_scored, n_green, z, p, prediction and invalid: no scored token means z 0, p .5, no prediction."""
+def scored(df: DataFrame, mask: Column, gamma: float = 0.5, threshold: float | None = 4.0, by: str = "mask") -> DataFrame:
+    """df with n_scored, n_green, z, p, prediction and invalid: no scored token means z 0, p .5, no prediction.
+
+    A threshold of None or 0 means the default of 4."""
     m = df.withColumn(by, mask)
     t, g = F.size(by), F.size(F.filter(by, lambda x: x))
     z = F.coalesce(z_score(g, t, gamma), F.lit(0.0))
     m = m.select("*", t.alias("n_scored"), g.alias("n_green"), z.alias("z"), (t < 1).alias("invalid"))
-    return m.withColumn("p", upper_tail(F.col("z"))).withColumn("prediction", F.col("z") > threshold)
+    return m.withColumn("p", upper_tail(F.col("z"))).withColumn("prediction", F.col("z") > (threshold or 4.0))
 
 
 def high_entropy(toks: Column, entropy: Column, n: int, tau: float, shift: bool, prf=None) -> Column:
     """Mask of the positions whose entropy is over tau; shift: entropy[i] describes the next token."""
-    e = F.concat(F.array(F.lit(0.0)), F.slice(entropy, 1, F.size(entropy) - 1)) if shift else entropy
+    e = F.concat(F.array(F.lit(0.0)), F.slice(entropy, 1, F.greatest(F.size(entropy) - 1, F.lit(0)))) if shift else entropy
     prf = prf or md5_green()
 
     def mask(x: Column) -> Column:
@@ -68,6 +70,28 @@ def high_entropy(toks: Column, entropy: Column, n: int, tau: float, shift: bool,
     return let(F.struct(toks.alias("t"), e.alias("e")), mask)
 
 
+def confidence(z: Column, prediction: Column) -> Column:
+    """1 - p of positive predictions; null for the others."""
+    return F.when(prediction, 1 - upper_tail(z))
+
+
+def trimmed(toks: Column, end: list[str], stops: list[str]) -> Column:
+    """struct(end, reason): where a generation ends, behind the first `end` sequence or before the first stop token.
+
+    The earlier one counts and the sequence wins ties; with neither the whole is kept (max_new_tokens)."""
+    want, n = F.array(*map(F.lit, end)), len(end)
+
+    def cut(t: Column) -> Column:
+        at = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        seq = F.get(F.filter(at, lambda i: F.slice(t, i, n) == want), F.lit(0)) + (n - 1)
+        stop = F.array_min(F.filter(F.array(*[F.array_position(t, s) for s in stops]), lambda i: i > 0)) - 1
+        options = F.filter(F.array(F.struct(seq.cast("long").alias("end"), F.lit(0).alias("rank"), F.lit("patch_end").alias("reason")), F.struct(stop.cast("long").alias("end"), F.lit(1).alias("rank"), F.lit("eos_token").alias("reason"))), lambda o: o["end"].isNotNull())
+        first = F.array_min(options)
+        return F.struct(F.coalesce(first["end"], F.size(t).cast("long")).alias("end"), F.coalesce(first["reason"], F.lit("max_new_tokens")).alias("reason"))
+
+    return let(toks, cut)
+
+
 def running_z(df: DataFrame, keys: list[str], mask: str = "mask", gamma: float = 0.5) -> DataFrame:
     """keys, t, z: the z-score after each scored token."""
     rows = df.select(*keys, F.posexplode(mask).alias("t0", "g"))
@@ -76,11 +100,11 @@ def running_z(df: DataFrame, keys: list[str], mask: str = "mask", gamma: float =
 
 
 def distinct_ngrams(df: DataFrame, keys: list[str], toks: str, n: int, prf=None) -> DataFrame:
-    """Scores that count each n-gram of a document once: keys, n_scored, n_green, z."""
+    """Scores that count each n-gram of a document once, in the row: keys, n_scored, n_green, z (no row without n-grams)."""
     prf = prf or md5_green()
-    grams = df.select(*keys, F.explode(let(F.col(toks), lambda t: F.transform(positions(t, n - 1), lambda i: F.struct(context(t, i, n).alias("c"), F.get(t, i).alias("t"))))).alias("g"))
-    once = grams.select(*keys, "g.c", "g.t").distinct().withColumn("green", prf(F.col("c"), F.col("t")))
-    x = once.groupBy(*keys).agg(F.count("*").alias("n_scored"), F.count_if("green").alias("n_green"))
+    grams = let(F.col(toks), lambda t: F.transform(positions(t, n - 1), lambda i: F.struct(context(t, i, n).alias("c"), F.get(t, i).alias("t"))))
+    x = df.select(*keys, F.array_distinct(grams).alias("g")).where("size(g) > 0")
+    x = x.select(*keys, F.size("g").cast("long").alias("n_scored"), F.size(F.filter("g", lambda y: prf(y["c"], y["t"]))).cast("long").alias("n_green"))
     return x.withColumn("z", z_score(F.col("n_green"), F.col("n_scored")))
 
 
@@ -89,15 +113,21 @@ def g_values(toks: Column, n: int, keys: int) -> Column:
     w = let(toks, lambda t: F.transform(positions(t, n - 1), lambda i: F.concat_ws(",", F.slice(t, i - n + 2, n))))
 
     def bits(windows: Column, key: int) -> Column:
-        return F.transform(windows, lambda x: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(key)), x)), 1, 1), 16, 10).cast("int") >= 8)
+        return F.transform(windows, lambda x: F.substring(F.md5(F.concat_ws("|", F.lit(str(key)), x)), 1, 1) >= "8")
 
     return let(w, lambda x: F.flatten(F.array(*[bits(x, k) for k in range(keys)])))
 
 
 def first_valid(df: DataFrame, keys: list[str], index: str, valid: Column, value: str) -> DataFrame:
-    """Per key the value of the first valid candidate, its index and the indexes skipped before it."""
-    g = df.withColumn("_ok", valid).groupBy(*keys).agg(F.min(F.when(F.col("_ok"), F.struct(index, value))).alias("b"), F.array_sort(F.collect_list(F.when(~F.col("_ok"), F.col(index)))).alias("bad"))
-    return g.select(*keys, F.col(f"b.{value}").alias(value), F.col(f"b.{index}").alias("chosen"), F.size(F.filter("bad", lambda x: F.col("b").isNull() | (x < F.col(f"b.{index}")))).alias("n_skipped"), F.col("b").isNull().alias("invalid"))
+    """Per key the value of the first valid candidate, its index and how many were skipped before it (all, if none is valid)."""
+    x = df.select(*keys, F.col(index).alias("_i"), F.col(value).alias("_v"), F.coalesce(valid, F.lit(False)).alias("_ok"))
+    g = x.groupBy(*keys).agg(F.min(F.when(F.col("_ok"), F.struct("_i", "_v"))).alias("_b")).select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], "_b")
+    on = F.lit(True)
+    for n, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    skipped = F.count_if(~F.col("_ok") & (F.col("_b").isNull() | (F.col("_i") < F.col("_b._i"))))
+    g = x.join(g, on).groupBy(*keys).agg(F.any_value("_b").alias("_b"), skipped.alias("n_skipped"))
+    return g.select(*keys, F.col("_b._v").alias(value), F.col("_b._i").alias("chosen"), "n_skipped", F.col("_b").isNull().alias("invalid"))
 
 
 def align(a: Column, b: Column, width: int = 10) -> Column:

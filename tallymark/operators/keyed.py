@@ -95,20 +95,35 @@ def edit_statistic(tokens: np.ndarray, keys: np.ndarray, block: int) -> float:
     return min(soft_edit(tokens[i : i + block], keys[(j + np.arange(block)) % n]) for i in range(len(tokens) - block + 1) for j in range(n))
 
 
-def edit_p_value(vocabulary: int, length: int = 16, block: int = 8, runs: int = 19, seed: int = 42):
+def edit_statistics(tokens: np.ndarray, keys: np.ndarray, block: int) -> np.ndarray:
+    """edit_statistic for several keys (runs x length x vocabulary) at once: one table for all keys, blocks and offsets."""
+    block, n = min(block, len(tokens)), keys.shape[1]
+    cost = np.log1p(-keys[:, :, tokens])
+    many = len(tokens) - block + 1
+    turned = [cost[:, (np.arange(n) + b) % n] for b in range(block)]
+    row = [np.zeros((len(keys), n, many)) for _ in range(block + 1)]
+    for a in range(block):
+        new = [np.zeros_like(row[0])]
+        for b in range(block):
+            new.append(np.minimum(np.minimum(row[b] + turned[b][:, :, a : a + many], row[b + 1]), new[b]))
+        row = new
+    return row[-1].min(axis=(1, 2))
+
+
+def edit_p_value(vocabulary: int, length: int = 16, block: int = 8, runs: int = 100, seed: int = 42):
     """A pandas function of array<int> ids -> p: (random keys that fit at least as well + 1) / (runs + 1); no ids: 1."""
 
     @F.pandas_udf("double")
     def p(ids: pd.Series) -> pd.Series:
         rng = np.random.RandomState(seed)
-        own, null = rng.random_sample((length, vocabulary)), [rng.random_sample((length, vocabulary)) for _ in range(runs)]
+        keys = rng.random_sample((runs + 1, length, vocabulary))  # the first is the detector's own
 
         def one(t) -> float:
             if t is None or len(t) == 0:
                 return 1.0
             t = np.asarray(t, np.int64)
-            test = edit_statistic(t, own, block)
-            return (sum(edit_statistic(t, k, block) <= test for k in null) + 1) / (runs + 1)
+            got = edit_statistics(t, keys, block)
+            return (int((got[1:] <= got[0]).sum()) + 1) / (runs + 1)
 
         return ids.map(one)
 

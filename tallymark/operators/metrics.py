@@ -78,22 +78,55 @@ def ngram_table(df: DataFrame, toks: Column, n: int) -> DataFrame:
     return grams.groupBy(F.array_join(F.slice("g", 1, n - 1), " ").alias("prefix"), F.element_at("g", -1).alias("next")).agg(F.count("*").alias("n"))
 
 
-def bleu(df: DataFrame, keys: list[str], candidate: Column, reference: Column, order: int = 4) -> DataFrame:
-    """Smoothed BLEU of each row's candidate tokens against its reference tokens (add one above unigrams)."""
-    rows = df.select(*keys, candidate.alias("c"), reference.alias("r"))
+# The patterns of the mteval normalisation, in their order.
+MTEVAL_JOIN = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+MTEVAL_SPLIT = ((r"([\{-~\[-\x60 -&\(-\+:-@/])", r" $1 "), (r"([^0-9])([\.,])", r"$1 $2 "), (r"([\.,])([^0-9])", r" $1 $2"), (r"([0-9])(-)", r"$1 $2 "))
+TINY = 2.2250738585072014e-308
 
-    def grams(x: str, n: int) -> Column:
-        return F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.array_join(F.slice(x, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-    def clipped(c: Column, r: Column) -> Column:
-        many = lambda xs, g: F.size(F.filter(xs, lambda y: y == g))
-        return F.aggregate(F.array_distinct(c), F.lit(0), lambda acc, g: acc + F.least(many(c, g), many(r, g)))
+def mteval_words(text: Column) -> Column:
+    """Lower-cased words with punctuation apart."""
+    for old, new in MTEVAL_JOIN:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = F.lower(F.concat(F.lit(" "), text, F.lit(" ")))
+    for pattern, new in MTEVAL_SPLIT:
+        text = F.regexp_replace(text, pattern, new)
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
+
+def bleu_parts(df: DataFrame, keys: list[str], candidate: Column, references: Column, order: int = 4) -> DataFrame:
+    """keys, c (words of the candidate), r (of its shortest reference), hit1.., guess1..: n-grams that a reference has too
+    (each at most as often as the reference that has it most), and all. N-grams are counted by key and joined."""
+    rows = df.select(*keys, candidate.alias("_c"), references.alias("_r"))
+
+    def grams(x: Column) -> Column:
+        own = lambda n: F.when(F.size(x) >= n, F.transform(F.sequence(F.lit(1), F.size(x) - n + 1), lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(x, i, n), " ").alias("g"))))
+        return F.flatten(F.array(*[F.coalesce(own(n), F.array().cast("array<struct<n:int,g:string>>")) for n in range(1, order + 1)]))
+
+    a = rows.select(*keys, F.explode(grams(F.col("_c"))).alias("_x")).groupBy(*keys, "_x").agg(F.count("*").alias("_a"))
+    b = rows.select(*keys, F.posexplode("_r").alias("_k", "_one")).select(*keys, "_k", F.explode(grams(F.col("_one"))).alias("_x")).groupBy(*keys, "_k", "_x").agg(F.count("*").alias("_b")).groupBy(*keys, "_x").agg(F.max("_b").alias("_b"))
+    hits = a.join(b, [*keys, "_x"], "left").groupBy(*keys).agg(*[F.sum(F.when(F.col("_x.n") == n, F.least("_a", F.coalesce("_b", F.lit(0))))).alias(f"hit{n}") for n in range(1, order + 1)])
+    lens = rows.select(*keys, F.size("_c").alias("c"), F.array_min(F.transform("_r", F.size)).alias("r"))
+    x = lens.join(hits, keys, "left")
+    return x.select(*keys, "c", "r", *[F.coalesce(f"hit{n}", F.lit(0)).alias(f"hit{n}") for n in range(1, order + 1)], *[F.greatest(F.col("c") - (n - 1), F.lit(0)).alias(f"guess{n}") for n in range(1, order + 1)])
+
+
+def bleu(df: DataFrame, keys: list[str], candidate: Column, references: Column, order: int = 4) -> DataFrame:
+    """keys, bleu of each row: smoothed above unigrams, the lengths of the brevity penalty one greater. Its mean over ids is the task's score."""
     logs = F.lit(0.0)
     for n in range(1, order + 1):
-        rows = rows.withColumn(f"c{n}", grams("c", n)).withColumn(f"r{n}", grams("r", n))
-        hit = clipped(F.col(f"c{n}"), F.col(f"r{n}"))
         add = 0 if n == 1 else 1
-        logs = logs + F.log((hit + add + 1e-12) / (F.size(f"c{n}") + add + 1e-12)) / order
-    short = F.when(F.size("c") > F.size("r"), 0.0).otherwise(1 - F.size("r") / F.greatest(F.size("c"), F.lit(1)))
-    return rows.select(*keys, F.exp(logs + short).alias("bleu"))
+        logs = logs + (F.log(F.col(f"hit{n}") + add + F.lit(TINY)) - F.log(F.col(f"guess{n}") + add + F.lit(TINY))) / order
+    short = F.least(F.lit(0.0), 1 - (F.col("r") + 1) / (F.col("c") + 1))
+    return bleu_parts(df, keys, candidate, references, order).select(*keys, F.exp(logs + short).alias("bleu"))
+
+
+def corpus_bleu(df: DataFrame, keys: list[str], groups: list[str], candidate: Column, references: Column, order: int = 4) -> DataFrame:
+    """groups, bleu of all rows together: counts are added up first, one is added to every precision, and short candidates pay exp(1 - r / c)."""
+    parts = bleu_parts(df, [*groups, *keys], candidate, references, order)
+    sums = parts.groupBy(*groups).agg(*[F.sum(c).alias(c) for c in parts.columns if c not in (*groups, *keys)])
+    logs = F.lit(0.0)
+    for n in range(1, order + 1):
+        logs = logs + F.log((F.col(f"hit{n}") + 1) / (F.col(f"guess{n}") + 1)) / order
+    short = F.when(F.col("c") > F.col("r"), 1.0).when(F.col("c") == 0, 0.0).otherwise(F.exp(1 - F.col("r") / F.col("c")))
+    return sums.select(*groups, (F.exp(logs) * short).alias("bleu"))

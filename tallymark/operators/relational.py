@@ -85,9 +85,9 @@ def last_ok(df: DataFrame, key: str, order: str, ok: Column) -> DataFrame:
 
 def added_lines(patches: DataFrame, key: str, patch: str) -> DataFrame:
     """key, pos, line: lines that a unified diff adds, inside hunks only."""
-    lines = F.split(patch, "\n")
-    state = F.aggregate(lines, F.struct(F.lit(False).alias("hunk"), F.array().cast("array<string>").alias("out")), lambda a, x: F.when(F.startswith(x, F.lit("@@")), F.struct(F.lit(True).alias("hunk"), a["out"].alias("out"))).when(F.startswith(x, F.lit("diff ")), F.struct(F.lit(False).alias("hunk"), a["out"].alias("out"))).when(a["hunk"] & F.startswith(x, F.lit("+")), F.struct(a["hunk"].alias("hunk"), F.concat(a["out"], F.array(F.substring(x, 2, 1 << 30))).alias("out"))).otherwise(a))
-    return patches.select(key, F.posexplode(state["out"]).alias("pos", "line"))
+    parts = F.filter(F.split(patch, r"(?m)^(?=@@|diff )"), lambda p: F.startswith(p, F.lit("@@")))
+    plus = F.flatten(F.transform(parts, lambda p: F.filter(F.split(p, "\n"), lambda x: F.startswith(x, F.lit("+")))))
+    return patches.select(key, F.posexplode(F.transform(plus, lambda x: F.substring(x, 2, 1 << 30))).alias("pos", "line"))
 
 
 def changed_lines(patches: DataFrame, key: str, patch: str) -> DataFrame:
@@ -110,3 +110,41 @@ def balanced_bins(df: DataFrame, key: str, weight: str, bins: int) -> DataFrame:
     if len(out) > 100_000:
         raise ValueError("balanced_bins is for at most 100,000 work items")
     return df.sparkSession.createDataFrame(out, f"{key} {dict(df.dtypes)[key]}, bin int")
+
+
+def required(df: DataFrame, ok, message: str) -> DataFrame:
+    """df; reading a row of which `ok` is not true fails with the message."""
+    return df.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+
+
+def joined_equal(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left and right on a key whose values both must hold once each alike; reading a row of one side only fails."""
+    a, b = left.withColumn("_l", F.lit(1)), right.withColumn("_r", F.lit(1))
+    x = required(a.join(b, key, "full"), F.col("_l").isNotNull() & F.col("_r").isNotNull(), f"both sides must hold the same {key}")
+    return x.drop("_l", "_r")
+
+
+def outer_spans(spans: DataFrame, group: str, low: str, high: str) -> DataFrame:
+    """The distinct spans of a group that lie in no other one: in the order of their starts (the longest first) those
+    that end behind all before them. A group is one source file's spans."""
+    w = Window.partitionBy(group).orderBy(low, F.desc(high)).rowsBetween(Window.unboundedPreceding, -1)
+    x = spans.withColumn("_far", F.max(high).over(w))
+    return x.where(F.col("_far").isNull() | (F.col(high) > F.col("_far"))).drop("_far")
+
+
+def shard_faults(expected: DataFrame, found: DataFrame, key: str, same: list[str], fixed: dict) -> DataFrame:
+    """key, shard, fault: the first of missing, extra, duplicate, wrong_metadata, wrong_parameters that holds for a key.
+
+    same: columns in which found rows must equal the expected; fixed: values that found rows must have."""
+    lows = [c for s in same for c in (F.min(s).alias(f"_lo_{s}"), F.max(s).alias(f"_hi_{s}"), F.count_if(F.col(s).isNull()).alias(f"_no_{s}"))]
+    odd = [F.count_if(~F.col(c).eqNullSafe(F.lit(v))).alias(f"_odd_{c}") for c, v in fixed.items()]
+    g = found.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"), F.min("shard").alias("_shard"), *lows, *odd)
+    x = expected.join(g, F.col(key) == F.col("_key"), "full")
+    meta = F.lit(False)
+    for s in same:
+        meta = meta | ~F.col(s).eqNullSafe(F.col(f"_lo_{s}")) | ~F.col(s).eqNullSafe(F.col(f"_hi_{s}")) | ((F.col(f"_no_{s}") > 0) & F.col(s).isNotNull())
+    wrong = F.lit(False)
+    for c in fixed:
+        wrong = wrong | (F.col(f"_odd_{c}") > 0)
+    fault = F.when(F.col("_key").isNull(), "missing").when(F.col(key).isNull(), "extra").when(F.col("_n") > 1, "duplicate").when(meta, "wrong_metadata").when(wrong, "wrong_parameters")
+    return x.select(F.coalesce(key, "_key").alias(key), F.coalesce("shard", "_shard").alias("shard"), fault.alias("fault")).where("fault IS NOT NULL")

@@ -1,15 +1,12 @@
 """Program rewrites and test runs as row transforms (Arrow batches, errors become rows).
 
-The rewriter walks at random over small meaning-keeping edits of Python source. Only families that `ast` and
-`tokenize` can do are here. Running programs is off unless asked for: `run_program` starts a subprocess with
+The rewriter walks at random over the small meaning-keeping edits of ``rules``. Running programs is off unless asked for: `run_program` starts a subprocess with
 limits in the executor, never in the driver.
 """
 
 from __future__ import annotations
 
 import ast
-import io
-import keyword
 import random
 import subprocess
 import sys
@@ -21,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rules import FAMILIES, PLAIN, Source
+
 RESULT = "ok boolean, code string, output string"
 
 
@@ -44,78 +43,15 @@ def external(df: DataFrame, column: str, tool: Callable[[str], str]) -> DataFram
     return df.withColumn("result", run(column))
 
 
-def _tokens(source: str) -> list:
-    return list(tokenize.generate_tokens(io.StringIO(source).readline))
-
-
-def _splice(source: str, start: tuple, end: tuple, text: str) -> str:
-    lines = source.splitlines(keepends=True)
-    head = "".join(lines[: start[0] - 1]) + lines[start[0] - 1][: start[1]]
-    tail = lines[end[0] - 1][end[1] :] + "".join(lines[end[0] :])
-    return head + text + tail
-
-
-def drop_comment(source: str) -> list[str]:
-    return [_splice(source, t.start, t.end, "") for t in _tokens(source) if t.type == tokenize.COMMENT]
-
-
-def respell_integer(source: str) -> list[str]:
-    """Decimal integers as hexadecimal and back."""
-    out = []
-    for t in _tokens(source):
-        if t.type == tokenize.NUMBER and t.string.isdigit():
-            out.append(_splice(source, t.start, t.end, hex(int(t.string))))
-        elif t.type == tokenize.NUMBER and t.string.lower().startswith("0x"):
-            out.append(_splice(source, t.start, t.end, str(int(t.string, 16))))
-    return out
-
-
-def split_integer(source: str) -> list[str]:
-    """A decimal integer n as (n - 1 + 1)."""
-    return [_splice(source, t.start, t.end, f"({int(t.string) - 1} + 1)") for t in _tokens(source) if t.type == tokenize.NUMBER and t.string.isdigit() and int(t.string) > 0]
-
-
-def space_operator(source: str) -> list[str]:
-    """A binary + without spaces gets them."""
-    return [_splice(source, t.start, t.end, " + ") for t in _tokens(source) if t.type == tokenize.OP and t.string == "+" and source.splitlines()[t.start[0] - 1][max(0, t.start[1] - 1)] != " "]
-
-
-def rename_local(source: str) -> list[str]:
-    """A function's own variable gets a fresh name. Functions with nested scopes, global or nonlocal names, or
-    calls that can see names (locals, vars, eval, exec) are left alone."""
-    tree, out = ast.parse(source), []
-    seen = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name)}
-    for f in [n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef)]:
-        inner = [n for n in ast.walk(f) if n is not f]
-        if any(isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.ClassDef, ast.Global, ast.Nonlocal)) for n in inner):
-            continue
-        if seen & {"locals", "vars", "eval", "exec"}:
-            continue
-        own = {n.id for n in inner if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)} - {a.arg for a in ast.walk(f.args) if isinstance(a, ast.arg)}
-        for name in sorted(own):
-            fresh = next(x for x in (f"v{i}" for i in range(10_000)) if x not in seen and not keyword.iskeyword(x))
-            at = sorted(((n.lineno, n.col_offset) for n in inner if isinstance(n, ast.Name) and n.id == name), reverse=True)
-            new = source
-            for line, byte in at:
-                col = len(source.splitlines()[line - 1].encode()[:byte].decode())
-                new = _splice(new, (line, col), (line, col + len(name)), fresh)
-            out.append(new)
-    return out
-
-
-RULES: dict[str, Callable[[str], list[str]]] = {f.__name__: f for f in (drop_comment, respell_integer, split_integer, space_operator, rename_local)}
-#: Leaves out the rewrite that makes programs longer at every step.
-PLAIN = {k: v for k, v in RULES.items() if k != "split_integer"}
-
-
-def walk(source: str, steps: int, seed: int, rules: dict = RULES, bucket: int = 2000) -> tuple[list[str], list[str]]:
+def walk(source: str, steps: int, seed: int, rules: dict = FAMILIES, bucket: int = 2000) -> tuple[list[str], list[str]]:
     """(programs, rules taken): each step picks evenly among staying and every edit that still parses and
     stays in the source's bucket of UTF-8 length. Same seed, same walk."""
     rng, programs, taken = random.Random(seed), [source], []
     ast.parse(source)
     home = len(source.encode()) // bucket
     for _ in range(steps):
-        now, options = programs[-1], [("identity", programs[-1])]
+        options = [("identity", programs[-1])]
+        now = Source(programs[-1])
         for name in sorted(rules):
             for new in sorted(set(rules[name](now))):
                 if len(new.encode()) // bucket == home:
@@ -131,8 +67,8 @@ def walk(source: str, steps: int, seed: int, rules: dict = RULES, bucket: int =
 
 
 def walks(df: DataFrame, column: str, seed: str, steps: int = 10, profile: str = "all") -> DataFrame:
-    """df with `walk`: status ('ok' or 'transform_failed'), programs (steps + 1), trace and the last program."""
-    rules = RULES if profile == "all" else PLAIN
+    """profile: all families, or no_advanced without those that change the flow of control. df with `walk`: status ('ok' or 'transform_failed'), programs (steps + 1), trace and the last program."""
+    rules = PLAIN if profile == "no_advanced" else FAMILIES
 
     @F.pandas_udf("status string, programs array<string>, trace array<string>, final string")
     def run(source: pd.Series, seeds: pd.Series) -> pd.DataFrame:

@@ -137,9 +137,11 @@ def p2_task_grid(spark, d):
     return _tasks(spark, d)
 
 
-@query(f"SELECT id, count(*) AS n FROM ({TASKS_SQL}) GROUP BY 1 HAVING count(*) > 1")
+@query(f"SELECT id, count(*) AS n FROM (SELECT id FROM ({TASKS_SQL}) UNION ALL SELECT id FROM ({TASKS_SQL}) WHERE scheme = 'sweet' AND item_id % 5 = 0) GROUP BY 1 HAVING count(*) > 1")
 def p3_repeated_ids(spark, d):
-    return R.repeated(_tasks(spark, d), ["id"])
+    """The ids that break uniqueness where a run's tasks (a fifth of one scheme's) are listed once more."""
+    x = _tasks(spark, d)
+    return R.repeated(x.unionAll(x.where("scheme = 'sweet' AND item_id % 5 = 0")), ["id"])
 
 
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' ELSE lang END AS shown FROM documents")
@@ -182,10 +184,29 @@ def p8_useful_configs(spark, d):
     return m.join(b, "config").where("auroc > 0.55D AND pass1 > 0.8D * base").select("config", "task", _r(F.col("auroc"), "auroc"))
 
 
-@query()
+def _cut_sql(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, '\\n[^\\t#\\n ]') THEN regexp_replace(regexp_extract({x}, '(?s)^(.*?)\\n[^\\t#\\n ]', 1), '\\s+$', '') ELSE {x} END"
+
+
+@query(f"""WITH g AS (SELECT doc_id, doc_id % 2 = 0 AS chat, regexp_replace(text, '\\s+$', '') AS own, strpos(regexp_replace(text, '\\s+$', ''), 'de') AS place FROM documents),
+r AS (SELECT *, substr(own, place + 1) AS rest FROM g)
+SELECT doc_id, md5(CASE WHEN NOT chat THEN 'def f():' || chr(10) || ({_cut_sql('own')}) WHEN place > 0 AND regexp_matches(rest, '\\n[^\\t#\\n ]') THEN regexp_replace(substr(own, 1, place) || regexp_extract(rest, '(?s)^(.*?)\\n[^\\t#\\n ]', 1), '\\s+$', '') ELSE own END) AS h FROM r""")
 def p11_solutions(spark, d):
-    x = _docs(spark, d).select("doc_id", F.concat(F.lit("```py\n"), "text", F.lit("\n```")).alias("t"))
-    return x.select("doc_id", F.md5(C.solution(F.col("t"), F.lit("def f():\n"), F.lit("py"), F.col("doc_id") % 2 == 0)).alias("h"))
+    """Python programs: base completions of a prompt, and chat replies with a closing fence and the entry point `de`."""
+    x = _docs(spark, d).withColumn("chat", F.col("doc_id") % 2 == 0)
+    x = x.withColumn("t", F.when(F.col("chat"), F.concat(C.stripped(F.col("text")), F.lit("\n```\nthat is all"))).otherwise(F.col("text")))
+    return x.select("doc_id", F.md5(C.solution(F.col("t"), F.lit("def f():\n"), F.lit("py"), F.col("chat"), F.lit("de"))).alias("h"))
+
+
+@query("""WITH g AS (SELECT doc_id, regexp_replace(replace(replace(text, ',', '{'), '.', '}'), '\\s+$', '') AS g FROM documents),
+c AS (SELECT doc_id, unnest(string_split(g, '')) AS c, generate_subscripts(string_split(g, ''), 1) AS i FROM g),
+b AS (SELECT doc_id, i, 1 + sum(CASE c WHEN '{' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY i) AS debt FROM c WHERE c IN ('{', '}')),
+e AS (SELECT doc_id, min(i) AS i FROM b WHERE debt = 0 GROUP BY 1)
+SELECT g.doc_id, length('function f() {' || regexp_replace(CASE WHEN i IS NULL THEN g ELSE substr(g, 1, i) END, '\\s+$', '')) AS n FROM g LEFT JOIN e ON g.doc_id = e.doc_id""")
+def p11_brace_solutions(spark, d):
+    """Completions of a prompt that leaves one brace open; commas open and full stops close one."""
+    t = F.translate("text", ",.", "{}")
+    return _docs(spark, d).select("doc_id", F.length(C.solution(t, F.lit("function f() {"), F.lit("js"), F.lit(False), F.lit("f"))).cast("long").alias("n"))
 
 
 @query()
@@ -324,10 +345,15 @@ def j6_wide(spark, d):
     return obf(spark, d).groupBy("id").pivot("obf", ["minify", "rename", "strip"]).agg(F.max("z2"))
 
 
-@query("SELECT a.doc_id FROM documents a JOIN documents b ON a.doc_id = b.doc_id JOIN labels l ON l.doc_id = a.doc_id WHERE (a.n_chars <> length(b.text)) OR a.lang IS DISTINCT FROM b.lang")
+@query("""WITH b AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars, CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 3 > 0)
+SELECT d.doc_id, d.n_chars <> b.n_chars AS n_chars_differs, d.text <> b.text AS text_differs, d.lang IS DISTINCT FROM b.lang AS lang_differs, d.source IS DISTINCT FROM b.source AS source_differs
+FROM documents d JOIN b ON d.doc_id = b.doc_id WHERE d.n_chars <> b.n_chars OR d.text <> b.text OR d.lang IS DISTINCT FROM b.lang OR d.source IS DISTINCT FROM b.source""")
 def j8_field_mismatch(spark, d):
-    """Labelled documents whose stated length is not their text's."""
-    return _docs(spark, d).join(table(spark, d, "labels").select("doc_id"), "doc_id").where(F.col("n_chars") != F.length("text")).select("doc_id")
+    """Rows of a second copy of the table (some are missing, some changed) of which one of four fields differs, and which."""
+    a, fields = _docs(spark, d), ("n_chars", "text", "lang", "source")
+    b = a.where("doc_id % 3 > 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n_chars"), F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"), "lang", "source")
+    x = a.alias("a").join(b.alias("b"), "doc_id").select("doc_id", *[(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))).alias(f"{f}_differs") for f in fields])
+    return x.where(" OR ".join(f"{f}_differs" for f in fields))
 
 
 @query("SELECT l.doc_id, l.quality FROM labels l WHERE l.doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
@@ -443,11 +469,41 @@ def a25_report_union(spark, d):
     return x.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _mteval_sql(x: str) -> str:
+    for old, new in M.MTEVAL_JOIN:
+        quoted = "chr(10)" if old == "\n" else "'-' || chr(10)" if old == "-\n" else f"'{old}'"
+        x = f"replace({x}, {quoted}, '{new}')"
+    x = f"lower(' ' || {x} || ' ')"
+    for pattern, new in M.MTEVAL_SPLIT:
+        x = f"regexp_replace({x}, '{pattern}', '{new.replace('$', chr(92))}', 'g')"
+    return f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
+
+
+BLEU_SQL = f"""WITH t AS (SELECT item_id, {_mteval_sql("replace(replace(text, ' de ', ' la '), ' the ', ' of ')")} AS c, {_mteval_sql("text")} AS r FROM benchmark),
+v AS (SELECT unnest([1, 2, 3, 4]) AS n), a AS (SELECT item_id, n, g, count(*) AS a FROM (SELECT item_id, n, array_to_string(c[i:i+n-1], ' ') AS g FROM (SELECT item_id, n, c, unnest(range(1, len(c) - n + 2)) AS i FROM t, v)) GROUP BY 1, 2, 3),
+b AS (SELECT item_id, n, g, count(*) AS b FROM (SELECT item_id, n, array_to_string(r[i:i+n-1], ' ') AS g FROM (SELECT item_id, n, r, unnest(range(1, len(r) - n + 2)) AS i FROM t, v)) GROUP BY 1, 2, 3),
+h AS (SELECT a.item_id, a.n, sum(least(a, coalesce(b, 0))) AS hit FROM a LEFT JOIN b ON a.item_id = b.item_id AND a.n = b.n AND a.g = b.g GROUP BY 1, 2),
+p AS (SELECT t.item_id, v.n, len(c) AS c, len(r) AS r, coalesce(hit, 0) AS hit, greatest(len(c) - v.n + 1, 0) AS guess FROM t CROSS JOIN v LEFT JOIN h ON t.item_id = h.item_id AND v.n = h.n)"""
+_ITEM_BLEU = "SELECT item_id, exp(sum(ln(hit + CASE n WHEN 1 THEN 0 ELSE 1 END + 2.2250738585072014e-308) - ln(guess + CASE n WHEN 1 THEN 0 ELSE 1 END + 2.2250738585072014e-308)) / 4 + least(0, 1 - (max(r) + 1) / (max(c) + 1))) AS bleu FROM p GROUP BY 1"
+
+
+def _bleu_pair(spark, d):
+    b = table(spark, d, "benchmark")
+    own = F.replace(F.replace("text", F.lit(" de "), F.lit(" la ")), F.lit(" the "), F.lit(" of "))
+    return b, M.mteval_words(own), F.array(M.mteval_words(F.col("text")))
+
+
+@query(f"{BLEU_SQL}, i AS ({_ITEM_BLEU}) SELECT item_id, round(100 * bleu, 6) AS bleu FROM i")
 def a27_bleu(spark, d):
-    """Smoothed BLEU of each item's text without its first word against the text."""
-    b = table(spark, d, "benchmark").withColumn("t", D.tokens(F.col("text")))
-    return M.bleu(b, ["item_id"], F.slice("t", 2, 1 << 30), F.col("t"))
+    """Smoothed BLEU-4 of each item's text with some words changed against the text, after the mteval normalisation."""
+    return M.bleu(*_bleu_pair(spark, d)[:1], ["item_id"], *_bleu_pair(spark, d)[1:]).select("item_id", F.round(100 * F.col("bleu"), 6).alias("bleu"))
+
+
+@query(f"{BLEU_SQL}, s AS (SELECT item_id % 3 AS part, n, sum(hit) AS hit, sum(guess) AS guess, sum(c) AS c, sum(r) AS r FROM p GROUP BY 1, 2) SELECT part, round(exp(sum(ln((hit + 1) / (guess + 1))) / 4) * CASE WHEN max(c) > max(r) THEN 1 ELSE exp(1 - max(r) / max(c)) END, 6) AS bleu FROM s GROUP BY 1")
+def a28_corpus_bleu(spark, d):
+    """BLEU-4 of all rows of a part together, smoothed at every order."""
+    b, own, ref = _bleu_pair(spark, d)
+    return M.corpus_bleu(b.withColumn("part", F.col("item_id") % 3), ["item_id"], ["part"], own, ref).select("part", _r(F.col("bleu"), "bleu"))
 
 
 @query(f"WITH {GEN_SQL} SELECT task, count(*) AS n, round(count(*) FILTER (passed) * 1.0::DOUBLE / count(*), 6) AS accuracy FROM gen GROUP BY 1")
@@ -457,8 +513,9 @@ def a29_accuracy(spark, d):
 
 @query()
 def a33_rule_counts(spark, d):
-    """Random walks over generated programs and how often each rule was taken."""
-    src = F.format_string("def f%s(a):\n    total = a+%s  # sum\n    return total\n", F.col("item_id").cast("string"), (F.col("item_id") + 3).cast("string"))
+    """Random walks over programs that hold the items' words, and how often each rule was taken."""
+    words = F.array_join(F.transform(D.tokens(F.col("text")), lambda w: F.concat(F.lit("'"), w, F.lit("'"))), ", ")
+    src = F.concat(F.lit("def f(a):\n    names = ["), words, F.lit("]\n    total = a+"), (F.col("item_id") + 3).cast("string"), F.lit("  # sum\n    return total, names\n"))
     x = W.walks(table(spark, d, "benchmark").select("item_id", src.alias("source")), "source", "item_id", 8)
     return W.rule_counts(x, ["item_id"])
 
@@ -563,10 +620,14 @@ def v12_key_coverage(spark, d):
     return x.select("o_orderkey", F.coalesce("c", F.lit(0)).alias("n")).where("n <> 4")
 
 
-@query(f"WITH {GEN_SQL} SELECT id FROM gen WHERE abs(z - (round(z * 1000) / 1000)) > 0.0000000001")
+@query(f"WITH {GEN_SQL}, saved AS (SELECT id, z + CASE WHEN id % 10 = 3 THEN 0.000001 WHEN id % 10 = 4 THEN 0.000000000001 ELSE 0 END AS old FROM gen) SELECT g.id, round(abs(z - old), 9) AS gap FROM gen g JOIN saved s ON g.id = s.id WHERE abs(z - old) > 0.0000000001")
 def v9_saved_scores(spark, d):
-    """Scores that differ from the saved ones."""
-    return gen(spark, d).where(F.abs(F.col("z") - F.round(F.col("z") * 1000) / 1000) > 1e-10).select("id")
+    """Scores that differ from saved ones by more than 1e-10 (a tenth of the saved ones is off by 1e-6, another by 1e-12)."""
+    k = F.col("id") % 10
+    g = gen(spark, d).select("id", "z")
+    saved = g.select("id", (F.col("z") + F.when(k == 3, 1e-6).when(k == 4, 1e-12).otherwise(0.0)).alias("old"))
+    x = g.join(saved, "id").withColumn("gap", F.abs(F.col("z") - F.col("old")))
+    return x.where("gap > 1e-10").select("id", _r(F.col("gap"), "gap", 9))
 
 
 @query("SELECT (SELECT count(*) FROM labels) AS present, (SELECT count(*) FROM documents) AS expected, (SELECT count(*) FROM labels) >= (SELECT count(*) FROM documents) AS complete")

@@ -27,13 +27,13 @@ def gen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def obf(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gen(spark, sf_dir)
-    v = F.explode(F.array(*[F.struct(F.lit(n).alias("obf"), F.when(digits("text", 5 + k, 1) >= 2, F.lit(f"ok{k}")).alias("solution"), (F.col("z") - 0.5 * (k + 1)).alias("z2")) for k, n in enumerate(VARIANTS)]))
+    v = F.explode(F.array(*[F.struct(F.lit(n).alias("obf"), F.when(digits("text", 5 + k, 1) >= 2, F.lit(f"ok{k}")).alias("solution"), (F.col("z") - 0.5 * (k + 1)).alias("z2"), (F.col("passed") & (digits("text", 9 + k, 1) >= 3)).alias("passed2"), (F.length("text") - k).alias("len2")) for k, n in enumerate(VARIANTS)]))
     return g.select("id", "config", "passed", v.alias("v")).select("id", "config", "passed", "v.*")
 
 
 GEN_SQL = """gen AS (SELECT d.doc_id AS id, d.lang AS config, d.source AS task, d.text, l.quality = 1 AS passed, l.toxic = 1 AS toxic,
  (CAST('0x' || substr(md5(d.text), 1, 4) AS INTEGER) % 1201) / 100.0 - 4 AS z FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
-OBF_SQL = GEN_SQL + ", obf AS (" + " UNION ALL ".join(f"SELECT id, config, passed, '{n}' AS obf, CASE WHEN CAST('0x' || substr(md5(text), {5 + k}, 1) AS INTEGER) >= 2 THEN 'ok{k}' END AS solution, z - {0.5 * (k + 1)} AS z2 FROM gen" for k, n in enumerate(VARIANTS)) + ")"
+OBF_SQL = GEN_SQL + ", obf AS (" + " UNION ALL ".join(f"SELECT id, config, passed, '{n}' AS obf, CASE WHEN CAST('0x' || substr(md5(text), {5 + k}, 1) AS INTEGER) >= 2 THEN 'ok{k}' END AS solution, z - {0.5 * (k + 1)} AS z2, passed AND CAST('0x' || substr(md5(text), {9 + k}, 1) AS INTEGER) >= 3 AS passed2, length(text) - {k} AS len2 FROM gen" for k, n in enumerate(VARIANTS)) + ")"
 TOK_SQL = "tok AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents)"
 POS_SQL = TOK_SQL + ", pos AS (SELECT doc_id, lang, unnest(range(1, len(t) + 1)) AS i, t FROM tok)"
 #: 1 - Phi(z) by the same polynomial.

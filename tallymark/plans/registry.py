@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import extra  # noqa: F401  (registers its own)
+    from . import extra, reports  # noqa: F401  (register their own)
 
     return dict(QUERIES)
 
@@ -126,12 +126,12 @@ def d17_running_z(spark, d):
     return x.select("doc_id", "t", _r(F.col("z"), "z"))
 
 
-@query(f"""WITH {POS_SQL}, k AS (SELECT unnest(range(0, 4)) AS k), s AS (SELECT doc_id, count(*) AS n_scored, count(*) FILTER (CAST('0x' || substr(md5(k || '|' || t[i-2] || ',' || t[i-1] || ',' || t[i]), 1, 1) AS INTEGER) >= 8) AS n_green FROM pos, k WHERE i >= 3 GROUP BY doc_id)
-SELECT doc_id, n_scored, n_green, round((n_green - 0.5 * n_scored) / sqrt(n_scored * 0.25), 6) AS z FROM s""")
+@query(f"""WITH {POS_SQL}, k AS (SELECT unnest(range(0, 30)) AS k), s AS (SELECT doc_id, count(*) AS n_scored, count(*) FILTER (CAST('0x' || substr(md5(k || '|' || t[i-2] || ',' || t[i-1] || ',' || t[i]), 1, 1) AS INTEGER) >= 8) AS n_green FROM pos, k WHERE i >= 3 GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_scored, 0) AS n_scored, coalesce(n_green, 0) AS n_green, coalesce(round((n_green - 0.5 * n_scored) / sqrt(n_scored * 0.25), 6), 0) AS z FROM tok t LEFT JOIN s ON t.doc_id = s.doc_id""")
 def d19_g_values(spark, d):
-    """Bits of each window under four keys against a fair coin."""
-    x = D.scored(_toks(spark, d), D.g_values(F.col("t"), 3, 4))
-    return x.where("n_scored > 0").select("doc_id", "n_scored", "n_green", _r(F.col("z"), "z"))
+    """Bits of each window under thirty keys against a fair coin; texts shorter than a window have z 0."""
+    x = D.scored(_toks(spark, d), D.g_values(F.col("t"), 3, 30))
+    return x.select("doc_id", "n_scored", "n_green", _r(F.col("z"), "z"))
 
 
 @query(f"""WITH {POS_SQL}, a AS (SELECT doc_id, t, len(t) AS n FROM tok WHERE len(t) >= 16)
@@ -201,12 +201,17 @@ def j11_pair_difference(spark, d):
 # --- aggregates -----------------------------------------------------------------------------
 
 
-@query(f"WITH {OBF_SQL}, n AS (SELECT config, count(*) AS comp_c, count(*) FILTER (passed) AS ok FROM gen GROUP BY 1) SELECT o.config, o.obf, round(max(ok) * 1.0 / max(comp_c), 6) AS pass1, round(avg(z2), 6) AS z, count(*) AS exp_c, CAST(max(comp_c) AS BIGINT) AS comp_c FROM obf o JOIN n ON o.config = n.config WHERE solution IS NOT NULL GROUP BY 1, 2")
+@query(COHORT_SQL + f""", n AS (SELECT config, count(*) AS exp_c FROM gen GROUP BY 1), r AS (SELECT id, config, 'Original' AS obf, passed, z, length(text) AS len FROM gen UNION ALL SELECT id, config, obf, passed2, z2, len2 FROM obf)
+SELECT r.config, obf, round(count(*) FILTER (passed) * 1.0 / max(exp_c), 6) AS pass1, round(avg(1 - {tail_sql('z')}), 6) AS auroc, round(avg(z), 6) AS z, round(avg({tail_sql('z')}), 6) AS p, CAST(max(exp_c) AS BIGINT) AS exp_c, count(*) AS comp_c, CAST(sum(len) AS BIGINT) AS len_sum
+FROM r JOIN c ON r.id = c.id JOIN n ON r.config = n.config GROUP BY 1, 2""")
 def a1_metric_rows(spark, d):
-    """Pass rate over all programs, mean z over those that compiled (A1, A2)."""
-    n = gen(spark, d).groupBy("config").agg(F.count("*").alias("comp_c"), F.count_if("passed").alias("ok"))
-    o = obf(spark, d).where("solution IS NOT NULL").groupBy("config", "obf").agg(F.avg("z2").alias("m"), F.count("*").alias("exp_c"))
-    return o.join(n, "config").select("config", "obf", _r(F.col("ok") / F.col("comp_c"), "pass1"), _r(F.col("m"), "z"), "exp_c", "comp_c")
+    """A row for the programs as they were and for each variant, over the cohort that every variant has (A1, A2):
+    its own passes over all programs, means of z and p, the ideal AUROC and the sum of lengths."""
+    g, o = gen(spark, d), obf(spark, d)
+    n = g.groupBy("config").agg(F.count("*").alias("exp_c"))
+    rows = g.select("id", "config", F.lit("Original").alias("obf"), "passed", "z", F.length("text").alias("len")).unionAll(o.select("id", "config", "obf", "passed2", "z2", "len2"))
+    x = rows.join(R.cohort(o, "id", "obf", "solution"), "id", "left_semi").groupBy("config", "obf").agg(F.count_if("passed").alias("ok"), _r(M.ideal_auroc(F.col("z")), "auroc"), _r(F.avg("z"), "z"), _r(F.avg(S.upper_tail(F.col("z"))), "p"), F.count("*").alias("comp_c"), F.sum("len").cast("long").alias("len_sum"))
+    return x.join(n, "config").select("config", "obf", _r(F.col("ok") / F.col("exp_c"), "pass1"), "auroc", "z", "p", "exp_c", "comp_c", "len_sum")
 
 
 @query(f"""WITH {GEN_SQL}, t AS (SELECT i, -15 + i * (30.0::DOUBLE / 2999) AS t FROM (SELECT unnest(range(0, 3000)) AS i)),
@@ -239,8 +244,8 @@ def a6_tpr_at_fpr(spark, d):
 k AS (SELECT unnest([1, 5, 10]) AS k) SELECT task, k, round(CASE WHEN c = 0 THEN 0 WHEN n - c < k THEN 1 ELSE 1 - list_product(list_transform(range(n - c + 1, n + 1), lambda i: 1 - k * 1.0::DOUBLE / i)) END, 6) AS pass FROM n, k WHERE k <= n""")
 def a7_pass_at_k(spark, d):
     n = gen(spark, d).where("passed IS NOT NULL").groupBy("task").agg(F.count("*").alias("n"), F.count_if("passed").alias("c"))
-    one = [n.where(F.col("n") >= k).select("task", F.lit(k).alias("k"), _r(S.pass_at_k(F.col("n"), F.col("c"), k), "pass")) for k in (1, 5, 10)]
-    return one[0].unionAll(one[1]).unionAll(one[2])
+    x = n.withColumn("k", F.explode(F.array(*map(F.lit, (1, 5, 10))))).where("k <= n")
+    return x.select("task", "k", _r(S.pass_at_k(F.col("n"), F.col("c"), F.col("k")), "pass"))
 
 
 @query(f"WITH {GEN_SQL} SELECT config, count(*) FILTER (passed AND toxic) AS preserved, count(*) FILTER (passed AND NOT toxic) AS regressions, count(*) FILTER (NOT passed AND toxic) AS improvements FROM gen GROUP BY 1")
@@ -332,7 +337,10 @@ def w11_slices(spark, d):
     return R.slices(_docs(spark, d), ["lang"], "doc_id", 50).groupBy("lang", "slice").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT source, w, row_number() OVER (ORDER BY w DESC, source) AS k FROM (SELECT source, sum(n_chars) AS w FROM documents GROUP BY 1)),
+r AS (SELECT CAST(0 AS BIGINT) AS k, [0, 0, 0, 0]::DOUBLE[] AS loads, CAST(NULL AS VARCHAR) AS source, CAST(0 AS INTEGER) AS bin UNION ALL
+SELECT o.k, [loads[i] + CASE WHEN i = list_position(loads, list_min(loads)) THEN w ELSE 0 END FOR i IN [1, 2, 3, 4]], o.source, CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER) FROM r JOIN o ON o.k = r.k + 1)
+SELECT source, bin FROM r WHERE k > 0""")
 def w12_balanced_bins(spark, d):
     return R.balanced_bins(_docs(spark, d).groupBy("source").agg(F.sum("n_chars").alias("w")), "source", "w", 4)
 
@@ -398,10 +406,13 @@ def p18_changed_lines(spark, d):
 # --- reports and validation -----------------------------------------------------------------
 
 
-@query(f"WITH {OBF_SQL} SELECT CAST(r AS INTEGER) AS bucket, count(*) AS n FROM (SELECT id, floor(10.0 * count(solution) / count(*)) AS r FROM obf GROUP BY 1) GROUP BY 1")
+@query(f"""WITH {OBF_SQL}, e AS (SELECT config, task, count(DISTINCT g.id) AS tot, count(DISTINCT CASE WHEN solution IS NOT NULL THEN o.id END) AS comp FROM gen g JOIN (SELECT id, solution FROM obf) o ON g.id = o.id GROUP BY 1, 2)
+SELECT CAST(floor(comp * 10.0 / tot) AS INTEGER) AS bucket, count(*) AS n, CAST(sum(comp) AS BIGINT) AS comp, CAST(sum(tot) AS BIGINT) AS tot FROM e GROUP BY 1""")
 def q5_compile_histogram(spark, d):
-    x = obf(spark, d).groupBy("id").agg(F.floor(10.0 * F.count("solution") / F.count("*")).cast("int").alias("bucket"))
-    return x.groupBy("bucket").agg(F.count("*").alias("n"))
+    """Experiments (configuration and task) by the tenth of their programs that any variant compiled."""
+    one = obf(spark, d).groupBy("id").agg(F.max(F.col("solution").isNotNull()).alias("some"))
+    e = gen(spark, d).join(one, "id").groupBy("config", "task").agg(F.countDistinct("id").alias("tot"), F.countDistinct(F.when(F.col("some"), F.col("id"))).alias("comp"))
+    return e.groupBy(F.expr("cast(comp * 10 div tot as int)").alias("bucket")).agg(F.count("*").alias("n"), F.sum("comp").alias("comp"), F.sum("tot").alias("tot"))
 
 
 @query("SELECT lang, sum(n_chars)::BIGINT AS total, count(*) AS n, round(avg(n_chars), 6) AS mean, round(quantile_cont(n_chars, 0.9), 6) AS p90 FROM documents WHERE source <> 'src0' GROUP BY 1")

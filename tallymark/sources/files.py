@@ -8,7 +8,8 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,8 +59,10 @@ def fingerprints(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
 def cached_step(spark: SparkSession, path: str, make) -> DataFrame:
     """The table at `path`; made and written first if it isn't there or can't be read."""
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+        kept = spark.read.parquet(path)
+        kept.count()  # reads every footer
+        return kept
+    except (PySparkException, Py4JJavaError):
         make().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
