@@ -102,9 +102,10 @@ def running_z(df: DataFrame, keys: list[str], mask: str = "mask", gamma: float =
 def distinct_ngrams(df: DataFrame, keys: list[str], toks: str, n: int, prf=None) -> DataFrame:
     """Scores that count each n-gram of a document once, in the row: keys, n_scored, n_green, z (no row without n-grams)."""
     prf = prf or md5_green()
-    grams = let(F.col(toks), lambda t: F.transform(positions(t, n - 1), lambda i: F.struct(context(t, i, n).alias("c"), F.get(t, i).alias("t"))))
+    grams = let(F.col(toks), lambda t: F.transform(positions(t, n - 1), lambda i: F.concat_ws("\0", context(t, i, n), F.get(t, i))))
+    part = lambda y, k: F.split_part(y, F.lit("\0"), F.lit(k))  # noqa: E731  (texts are made distinct by hashing, structs pair by pair)
     x = df.select(*keys, F.array_distinct(grams).alias("g")).where("size(g) > 0")
-    x = x.select(*keys, F.size("g").cast("long").alias("n_scored"), F.size(F.filter("g", lambda y: prf(y["c"], y["t"]))).cast("long").alias("n_green"))
+    x = x.select(*keys, F.size("g").cast("long").alias("n_scored"), F.size(F.filter("g", lambda y: prf(part(y, 1), part(y, 2)))).cast("long").alias("n_green"))
     return x.withColumn("z", z_score(F.col("n_green"), F.col("n_scored")))
 
 

@@ -177,11 +177,11 @@ def _configs(spark, d):
     return m, m.where("task = 'src0'").select("config", F.col("pass1").alias("base"))
 
 
-@query(f"WITH {CONFIG_SQL} SELECT m.config, m.task, round(auroc, 6) AS auroc FROM m JOIN b ON m.config = b.config WHERE auroc > 0.55 AND pass1 > 0.8 * base")
+@query(f"WITH {CONFIG_SQL} SELECT m.config, m.task, round(auroc, 6) AS auroc FROM m JOIN b ON m.config = b.config WHERE auroc > 0.8 AND pass1 > 0.8 * base")
 def p8_useful_configs(spark, d):
-    """Configurations that detect well at little loss against the baseline."""
+    """Configurations that detect well at little loss against the baseline (P8; strictly over both limits)."""
     m, b = _configs(spark, d)
-    return m.join(b, "config").where("auroc > 0.55D AND pass1 > 0.8D * base").select("config", "task", _r(F.col("auroc"), "auroc"))
+    return m.join(b, "config").where("auroc > 0.8D AND pass1 > 0.8D * base").select("config", "task", _r(F.col("auroc"), "auroc"))
 
 
 def _cut_sql(x: str) -> str:
@@ -252,10 +252,12 @@ def p22_few_shot(spark, d):
     return x.select("lang", F.md5(F.array_join("s.text", "\n---\n")).alias("prompt"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'resolved' WHEN doc_id % 6 IN (1, 2) THEN 'unresolved' WHEN doc_id % 6 = 3 THEN 'error' ELSE 'unknown' END AS outcome FROM documents")
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'resolved' WHEN doc_id % 7 IN (1, 2) THEN 'unresolved' WHEN doc_id % 7 = 3 THEN 'empty_patch' WHEN doc_id % 7 = 4 THEN 'error' WHEN doc_id % 7 = 5 THEN 'incomplete' ELSE 'unknown' END AS outcome FROM documents")
 def p23_outcome(spark, d):
+    """An id may stand in several of a report's lists; the first list counts."""
     ids = lambda *xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    return _docs(spark, d).select("doc_id", S.outcome(F.col("doc_id") % 6, {"resolved": ids(0), "unresolved": ids(0, 1, 2), "error": ids(2, 3)}).alias("outcome"))
+    lists = {"resolved": ids(0), "unresolved": ids(0, 1, 2), "empty_patch": ids(2, 3), "error": ids(3, 4), "incomplete": ids(0, 4, 5)}
+    return _docs(spark, d).select("doc_id", S.outcome(F.col("doc_id") % 7, lists).alias("outcome"))
 
 
 @query(f"WITH {GEN_SQL} SELECT id, CASE WHEN passed AND toxic THEN 'preserved' WHEN passed AND NOT toxic THEN 'regression' WHEN NOT passed AND toxic THEN 'improved' WHEN NOT passed AND NOT toxic THEN 'baseline_failed' END AS label FROM gen")
