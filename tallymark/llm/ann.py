@@ -6,8 +6,9 @@ them can never be among the k nearest. Classes are dealt into shards of about
 hash strings (signs of random projections; maximum inner product is made an
 angle by one more coordinate that lifts every vector to the same norm). A query
 descends every tree to its longest matching prefix by binary search and then
-ascends all trees together, one bit at a time, until its prefix ranges hold
-``share`` of the shard; those candidates are scored exactly in double precision.
+ascends all trees together, one bit at a time, scoring what it meets exactly in double
+precision, until its prefix ranges hold ``share`` of the trees' entries or the k-th
+score has stayed the same while the vectors looked at doubled.
 Queries meet shards in blocks, so a task holds one shard and one block.
 
 Vectors null, empty, zero, or holding null or non-finite components take no part;
@@ -43,32 +44,42 @@ class Forest:
         bits = (lifted.astype(np.float32) @ self.planes > 0).reshape(len(lifted), self.trees, BITS)
         return (bits * (np.uint64(1) << np.arange(BITS - 1, -1, -1, dtype=np.uint64))).sum(2).astype(np.int64)
 
-    def candidates(self, q: np.ndarray, enough: int, least: int) -> Iterator[np.ndarray]:
-        """Rows of the shard for each query: ranges of `enough` entries, and `least` rows (or all)."""
+    def nearest(self, x: np.ndarray, q: np.ndarray, enough: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of the shard x that each query has looked at, and their scores.
+
+        All trees ascend together until the ranges hold `enough` entries and k rows, or the k-th
+        best score has stayed the same while the rows looked at doubled.
+        """
         keys = self.keys(np.column_stack((q, np.zeros(len(q)))))
-        # A prefix range shrinks as the prefix grows, so the length at which the ascent ends is
-        # the longest at which the ranges of all trees hold enough.
         low, high = [], []
-        for x in range(BITS + 1):
-            a = keys >> (BITS - x) << (BITS - x)
+        for bits in range(BITS + 1):  # a prefix range shrinks as the prefix grows
+            a = keys >> (BITS - bits) << (BITS - bits)
             lo = np.column_stack([np.searchsorted(self.sorted[:, t], a[:, t]) for t in range(self.trees)])
-            hi = np.column_stack([np.searchsorted(self.sorted[:, t], a[:, t] + (1 << (BITS - x))) for t in range(self.trees)])
+            hi = np.column_stack([np.searchsorted(self.sorted[:, t], a[:, t] + (1 << (BITS - bits))) for t in range(self.trees)])
             low.append(lo)
             high.append(hi)
-            if ((hi - lo).sum(1) < enough).all():
+            if ((hi - lo).sum(1) < k).all():
                 break
         held = (np.array(high) - np.array(low)).sum(2)
-        level = np.maximum((held >= enough).sum(0) - 1, 0)
-        for i, x in enumerate(level):
-            while True:
-                seen = np.zeros(len(self.order), bool)
+        first, last = (np.maximum((held >= m).sum(0) - 1, 0) for m in (k, enough))
+        for i in range(len(q)):
+            seen, rows, scores, best, at = np.zeros(len(x), bool), np.zeros(0, np.int64), np.zeros(0), -np.inf, 0
+            for level in range(first[i], -1, -1):
+                before = seen.copy()
                 for t in range(self.trees):
-                    seen[self.order[low[x][i, t] : high[x][i, t], t]] = True
-                found = np.flatnonzero(seen)
-                if len(found) >= least or x == 0:  # trees that agree hold one vector many times: ascend further
+                    seen[self.order[low[level][i, t] : high[level][i, t], t]] = True
+                new = np.flatnonzero(seen & ~before)
+                rows, scores = np.concatenate((rows, new)), np.concatenate((scores, (x[new] * q[i]).sum(1)))
+                if len(rows) < k:  # trees that agree hold one vector many times
+                    continue
+                if level <= last[i]:
+                    break
+                kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+                if kth > best:
+                    best, at = kth, len(rows)
+                elif len(rows) >= 2 * at:
                     break
-                x -= 1
-            yield found
+            yield rows, scores
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -85,8 +96,7 @@ def _search(k: int, trees: int, share: float, norms: dict[int, float]):
             forest = Forest(x, norms[x.shape[1]], trees, 1)
             xid, qid = left["id"].to_numpy(), right["id"].to_numpy()
             enough = max(4 * k, int(np.ceil(share * len(x) * trees)))
-            for i, c in enumerate(forest.candidates(q, enough, k + 1)):
-                s = (x[c] * q[i]).sum(1)
+            for i, (c, s) in enumerate(forest.nearest(x, q, enough, k + 1)):
                 if len(c) > 2 * k + 1:
                     cut = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
                     c, s = c[s >= cut], s[s >= cut]
