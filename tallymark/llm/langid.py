@@ -184,9 +184,9 @@ def train(docs: DataFrame, sample_rows: int = 6000, steps: int = 300) -> Network
 def label(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs with lang_pred and score (0 to 1); columns of these names are replaced."""
     own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = StructType([*own, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     names = [f.name for f in own]
-    at = names.index("text")
+    at, safe = names.index("text"), [f"c{k}" for k in range(len(own))]  # mapInArrow takes no names with dots
+    schema = StructType([*[StructField(n, f.dataType) for n, f in zip(safe, own)], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,9 +201,9 @@ def label(docs: DataFrame, net: Network | None) -> DataFrame:
                 p = np.concatenate([net.documents(data, offsets[x : y + 1]) for x, y in slices(offsets, SLICE)])
                 lang, score = pa.array(net.langs).take(pa.array(p.argmax(1))), np.clip(p.max(1), 0, 1)
             lang = pc.fill_null(pc.if_else(letters, lang, UND), UND)
-            yield pa.RecordBatch.from_arrays([*b.columns, lang, pc.if_else(letters, pa.array(score), 0.0)], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, lang, pc.if_else(letters, pa.array(score), 0.0)], [*safe, "lang_pred", "score"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{n}`").alias(c) for n, c in zip(names, safe)]).mapInArrow(run, schema).toDF(*names, "lang_pred", "score")
 
 
 def identify(docs: DataFrame, sample_rows: int = 6000, steps: int = 300) -> DataFrame:
