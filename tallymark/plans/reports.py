@@ -383,3 +383,54 @@ def s6_adapters(spark, d):
         x = x.select(F.lit(name).alias("name"), "item_id", F.md5("p").alias("prompt"), F.md5(a.answer(F.col("g"), F.col("p"))).alias("answer"))
         out = x if out is None else out.unionAll(x)
     return out
+
+
+# --- votes, tables of n-grams, rates, baselines ----------------------------------------------
+
+
+@query("""WITH a AS (SELECT user_id, round(value) AS answer, count(*) AS votes, min(event_id) AS seen FROM events WHERE event_type <> 'click' AND value IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT user_id, answer FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, seen) AS r FROM a) WHERE r = 1),
+g AS (SELECT user_id, round(min(value)) AS gold, count(*) FILTER (event_type = 'click' OR value IS NULL) AS failures FROM events GROUP BY 1)
+SELECT count(*) AS users, count(*) FILTER (abs(answer - gold) < 1e-3) AS correct, round(count(*) FILTER (abs(answer - gold) < 1e-3) * 1.0::DOUBLE / count(*), 6) AS accuracy, CAST(sum(failures) AS BIGINT) AS failures FROM g LEFT JOIN m ON g.user_id = m.user_id""")
+def a26_vote_accuracy(spark, d):
+    """The majority of each key's successful answers (the first seen wins ties) against the gold answer, equal up to 1e-3; failed answers are counted, and a key without an answer is wrong."""
+    e = table(spark, d, "events")
+    ok = (F.col("event_type") != "click") & F.col("value").isNotNull()
+    m = M.majority(e.where(ok).withColumn("answer", F.round("value")), ["user_id"], "answer", "event_id").select(F.col("user_id").alias("u"), "answer")
+    g = e.groupBy("user_id").agg(F.round(F.min("value")).alias("gold"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("failures"))
+    x = g.join(m, F.col("user_id") == F.col("u"), "left")
+    right = F.count_if(F.abs(F.col("answer") - F.col("gold")) < 1e-3)
+    return x.agg(F.count("*").alias("users"), right.alias("correct"), _r(right / F.count("*"), "accuracy"), F.sum("failures").alias("failures"))
+
+
+@query("""WITH t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z]+') AS t FROM documents), w AS (SELECT doc_id, lang, t[i] AS prefix, t[i+1] AS next FROM (SELECT doc_id, lang, t, unnest(range(1, len(t))) AS i FROM t))
+SELECT prefix, next, count(*) AS n, count(DISTINCT doc_id) AS sources, min(doc_id) AS first_doc, min_by(lang, doc_id) AS first_lang FROM w GROUP BY 1, 2""")
+def a30_ngram_sources(spark, d):
+    """Bigrams with how often and in how many documents they stand, and what belongs to the first document that has them."""
+    t = _toks(spark, d)
+    pairs = F.when(F.size("t") > 1, F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("a"), F.slice("t", 2, F.size("t") - 1).alias("b")))
+    once = t.select("doc_id", "lang", F.explode(pairs).alias("g")).select("doc_id", "lang", F.col("g.a").alias("prefix"), F.col("g.b").alias("next")).groupBy("prefix", "next", "doc_id").agg(F.count("*").alias("k"), F.any_value("lang").alias("lang"))
+    return once.groupBy("prefix", "next").agg(F.sum("k").alias("n"), F.count("*").alias("sources"), F.min("doc_id").alias("first_doc"), F.min_by("lang", "doc_id").alias("first_lang"))
+
+
+@query("SELECT event_type, count(*) AS requests, round(sum(value) / (epoch(max(ts)) - epoch(min(ts))), 6) AS rate, quantile_disc(value, 0.1) AS p10 FROM events GROUP BY 1")
+def a31_throughput(spark, d):
+    """Total over the time from the first to the last request, and the nearest-rank tenth percentile."""
+    s = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("requests"), _r(F.sum("value") / (F.max(s) - F.min(s)), "rate"), F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY value)").alias("p10"))
+
+
+@query(f"WITH {GEN_SQL}, m AS (SELECT config, task, CAST(id % 3 AS BIGINT) AS temperature, avg(z) AS m FROM gen GROUP BY 1, 2, 3), b AS (SELECT config, temperature, m AS base FROM m WHERE task = 'src0') SELECT m.config, m.task, m.temperature, round(m - base, 6) AS lift FROM m LEFT JOIN b ON m.config = b.config AND m.temperature = b.temperature WHERE m.config IS NOT NULL")
+def j3_baseline_keys(spark, d):
+    """The difference from the baseline of the same model and temperature; two baselines that disagree fail the query."""
+    m = gen(spark, d).where("config IS NOT NULL").groupBy("config", "task", (F.col("id") % 3).alias("temperature")).agg(F.avg("z").alias("m"))
+    x = R.baseline(m, m.where("task = 'src0'"), ["config", "temperature"], "m", "base")
+    return x.select("config", "task", "temperature", _r(F.col("m") - F.col("base"), "lift"))
+
+
+@query(f"WITH {GEN_SQL} SELECT id, config, task, round(z, 6) AS z, CAST(row_number() OVER (ORDER BY z DESC, config, task, id) AS INTEGER) AS rank FROM gen ORDER BY z DESC, config, task, id LIMIT 20")
+def w4_exact_top(spark, d):
+    """The twenty highest scores by score, configuration and task; fewer than twenty fail the query."""
+    top = R.top_k(gen(spark, d).select("id", "config", "task", "z"), 20, F.desc("z"), F.asc("config"), F.asc("task"), F.asc("id"))
+    n = top.agg(F.count("*").alias("n"))
+    return R.required(top.crossJoin(F.broadcast(n)), F.col("n") == 20, "fewer than twenty cases").select("id", "config", "task", _r(F.col("z"), "z"), "rank")
