@@ -86,6 +86,12 @@ def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints of one word each, or of several (a row each)."""
+    bits = np.bitwise_count(a ^ b).astype(np.int64)
+    return bits.sum(1) if bits.ndim > 1 else bits
+
+
 class BkForest:
     """BK-trees of several shards: shard[i] is ascending, its first member is the root."""
 
@@ -97,8 +103,8 @@ class BkForest:
         todo = np.flatnonzero(~opens)
         at = self.root[todo]
         while len(todo):
-            d = np.bitwise_count(value[todo] ^ value[at]).astype(np.int64)
-            _, lead, back = np.unique(at * 65 + d, return_index=True, return_inverse=True)
+            d = distance(value[todo], value[at])
+            _, lead, back = np.unique(at * (64 * value[0].size + 1) + d, return_index=True, return_inverse=True)
             child = todo[lead]
             parent[child], edge[child] = at[lead], d[lead]
             at = child[back]
@@ -120,7 +126,7 @@ class BkForest:
                     half = len(q) // 2
                     stack += [(q[:half], node[:half]), (q[half:], node[half:])]
                     continue
-                d = np.bitwise_count(self.value[q] ^ self.value[node]).astype(np.int64)
+                d = distance(self.value[q], self.value[node])
                 near = (d <= radius) & ((node < q) if asked is None else (node != q))
                 if near.any():
                     yield q[near], node[near]
