@@ -60,7 +60,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return x.select("doc_id", "n_lines", "n_removed", F.length("text").alias("kept_chars"), F.crc32("text").alias("kept_crc32"))
+    return x.select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,5 +91,22 @@ FROM p JOIN g ON p.h = g.h
 """
 
 
+#: Lines one edit apart share a half at a place that the lengths decide; what differs is one character or one more.
+LINE_SQL = """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS pos FROM l),
+x AS (SELECT doc_id, pos, raw, trim(raw, ' ') AS line FROM u),
+k AS (SELECT line, min((doc_id, pos)) AS f, length(line) AS n FROM x WHERE line <> '' GROUP BY 1),
+own AS (SELECT line, f, n, n AS l, 0 AS i, substr(line, 1, n // 2) AS s FROM k WHERE n >= 16 UNION ALL SELECT line, f, n, n, 1, substr(line, n // 2 + 1) FROM k WHERE n >= 16),
+probe AS (SELECT line, f, n, n - 1 AS l, 0 AS i, substr(line, 1, (n - 1) // 2) AS s FROM k WHERE n >= 17 UNION ALL SELECT line, f, n, n - 1, 1, substr(line, (n - 1) // 2 + 2) FROM k WHERE n >= 17),
+c AS (SELECT DISTINCT a.line AS a, b.line AS b, a.n AS na, b.n AS nb, a.f AS fa, b.f AS fb FROM own a JOIN (SELECT * FROM own UNION ALL SELECT * FROM probe) b ON a.l = b.l AND a.i = b.i AND a.s = b.s AND a.line <> b.line),
+d AS (SELECT *, coalesce(list_filter(range(1, na + 1), lambda j: substr(a, j, 1) <> substr(b, j, 1))[1], na + 1) AS place FROM c),
+near AS (SELECT DISTINCT CASE WHEN fa > fb THEN a ELSE b END AS line FROM d WHERE substr(a, CASE WHEN na = nb THEN place + 1 ELSE place END) = substr(b, place + 1)),
+m AS (SELECT x.doc_id, x.pos, x.raw, x.line <> '' AND (near.line IS NOT NULL OR k.f <> (x.doc_id, x.pos)) AS gone FROM x LEFT JOIN k ON x.line = k.line LEFT JOIN near ON x.line = near.line),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS t FROM m GROUP BY 1)
+SELECT o.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, length(t) AS kept_chars, md5(t) AS kept_md5 FROM documents o LEFT JOIN g ON o.doc_id = g.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": WARC_SQL}
+    return {"op6_warc": WARC_SQL, "op10_line_dedup": LINE_SQL}
