@@ -130,3 +130,10 @@ def run_program(df: DataFrame, column: str, enabled: bool = False, timeout: floa
 def differential(before: Column, after: Column, failed: Column) -> Column:
     """baseline_failed, obfuscator_error, preserved or regression of a program and its rewrite."""
     return F.when(before != "passed", "baseline_failed").when(failed, "obfuscator_error").when(after == "passed", "preserved").otherwise("regression")
+
+
+def refreshed(saved: DataFrame, baseline: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """saved rows with only these columns taken anew where baseline has the key; walks and all else stay as they are."""
+    new = baseline.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_has"))
+    x = saved.join(new, F.col(key) == F.col("_key"), "left")
+    return x.select(*[F.when(F.col("_has"), F.col(f"_new_{c}")).otherwise(F.col(f"`{c}`")).alias(c) if c in columns else F.col(f"`{c}`") for c in saved.columns])

@@ -14,6 +14,7 @@ from ..operators import benchmarks as B
 from ..operators import detection as D
 from ..operators import metrics as M
 from ..operators import relational as R
+from ..operators import rewrite as W
 from ..sources import files as IO
 from .extra import CONFIG_SQL, _configs
 from .lake import GEN_SQL, OBF_SQL, VARIANTS, gen, obf, table, tail_sql
@@ -434,3 +435,25 @@ def w4_exact_top(spark, d):
     top = R.top_k(gen(spark, d).select("id", "config", "task", "z"), 20, F.desc("z"), F.asc("config"), F.asc("task"), F.asc("id"))
     n = top.agg(F.count("*").alias("n"))
     return R.required(top.crossJoin(F.broadcast(n)), F.col("n") == 20, "fewer than twenty cases").select("id", "config", "task", _r(F.col("z"), "z"), "rank")
+
+
+@query("SELECT d.doc_id, md5(d.text) AS walk, CASE WHEN l.doc_id IS NOT NULL THEN quality ELSE -1 END AS baseline FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def t6_refreshed_baseline(spark, d):
+    """Saved walks whose baseline outcome is taken anew where there is one; the walks stay."""
+    saved = _docs(spark, d).select("doc_id", F.md5("text").alias("walk"), F.lit(-1).alias("baseline"))
+    return W.refreshed(saved, table(spark, d, "labels").select("doc_id", F.col("quality").alias("baseline")), "doc_id", ["baseline"])
+
+
+@query(f"WITH {GEN_SQL} SELECT id, CASE WHEN NOT coalesce(passed, false) THEN 'baseline_failed' WHEN id % 9 = 0 THEN 'obfuscator_error' WHEN toxic THEN 'preserved' ELSE 'regression' END AS status FROM gen")
+def x3_differential_status(spark, d):
+    """What became of each program: its baseline failed, the tool failed, or its tests pass as before or no more."""
+    state = lambda c: F.when(F.coalesce(F.col(c), F.lit(False)), "passed").otherwise("failed")
+    return gen(spark, d).select("id", W.differential(state("passed"), state("toxic"), F.col("id") % 9 == 0).alias("status"))
+
+
+@query(f"WITH {GEN_SQL} SELECT id, id % 10 = 0 AS invalid, CASE WHEN id % 10 <> 0 AND z > 0 THEN round(z, 6) END AS z, CASE WHEN id % 10 = 0 THEN 'failed' WHEN z > 0 THEN 'ok' ELSE 'no_detection' END AS status FROM gen")
+def t5_transform_rows(spark, d):
+    """Transform rows as they are saved: a nested detection that only transformed programs have, and errors as rows."""
+    x = gen(spark, d).select("id", (F.col("id") % 10 == 0).alias("invalid"), "z")
+    x = x.withColumn("detection", F.when(~F.col("invalid") & (F.col("z") > 0), F.struct(F.round("z", 6).alias("z"), F.lit("ok").alias("status"))))
+    return x.select("id", "invalid", "detection.z", F.coalesce("detection.status", F.when(F.col("invalid"), "failed").otherwise("no_detection")).alias("status"))
