@@ -64,3 +64,11 @@ def slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
         out.append((a, b))
         a = b
     return out
+
+
+def numbered(data: np.ndarray, cuts: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct strings data[cuts[i]:cuts[i + 1]], and the number of each string among them."""
+    if len(cuts) < 2:
+        return [], np.zeros(0, np.int64)
+    own = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+    return own.dictionary.to_pylist(), own.indices.to_numpy()
