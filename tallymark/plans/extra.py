@@ -77,14 +77,6 @@ def s9_cached_step(spark, d):
     return IO.cached_step(spark, path, make)
 
 
-@query()
-def s10_manifest(spark, d):
-    """Length and sha256 of a written table's files."""
-    path = IO.scratch(spark, "manifest")
-    table(spark, d, "nation").coalesce(1).write.parquet(path)
-    return IO.fingerprints(spark, path, "*.parquet")
-
-
 @query("SELECT doc_id, lang, n_chars FROM documents")
 def k4_scalar_csv(spark, d):
     path = IO.scratch(spark, "csv")

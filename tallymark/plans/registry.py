@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import extra, reports  # noqa: F401  (register their own)
+    from . import extra, reports, stores  # noqa: F401  (register their own)
 
     return dict(QUERIES)
 

@@ -16,8 +16,11 @@ from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share; /tmp only where the session names none (tests)."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/tallymark').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder that driver and executors share; /tmp only on one machine whose session names none (tests)."""
+    shared, master = spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.master", "local")
+    if not shared and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or '/tmp/checkpoints/tallymark').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -85,7 +88,7 @@ def benchmark(raw: DataFrame, dialect: str) -> DataFrame:
     point of its own, it is the last `def NAME(` of the tests or the prompt."""
     i, prompt, entry, test = DIALECTS[dialect]
     t = F.array_join(test, "\n") if isinstance(raw.schema[test].dataType, T.ArrayType) else F.col(test).cast("string")
-    named = F.element_at(F.regexp_extract_all(prompt, F.lit(r"def\s+(\w+)\s*\("), F.lit(1)), -1)
+    named = F.try_element_at(F.regexp_extract_all(prompt, F.lit(r"def\s+(\w+)\s*\("), F.lit(1)), F.lit(-1))
     called = F.regexp_extract(t, r"assert\s+(\w+)\s*\(", 1)
     return raw.select(F.col(i).cast("string").alias("id"), F.col(prompt).alias("prompt"), (F.col(entry) if entry else F.coalesce(F.nullif(called, F.lit("")), named)).alias("entry_point"), t.alias("test"))
 
