@@ -99,14 +99,23 @@ def running_z(df: DataFrame, keys: list[str], mask: str = "mask", gamma: float =
     return rows.select(*keys, (F.col("t0") + 1).alias("t"), z_score(F.sum(F.col("g").cast("int")).over(w), F.col("t0") + 1, gamma).alias("z"))
 
 
-def distinct_ngrams(df: DataFrame, keys: list[str], toks: str, n: int, prf=None) -> DataFrame:
-    """Scores that count each n-gram of a document once, in the row: keys, n_scored, n_green, z (no row without n-grams)."""
+def ngram_scores(df: DataFrame, keys: list[str], toks: str, n: int, prf=None, switch: Callable[[Column, Column], Column] | None = None, threshold: float = 0.0, repeats: bool = False, gamma: float = 0.5) -> DataFrame:
+    """keys, n_scored, n_green, z, p of each row's n-grams, in the row (no row for texts without an n-gram).
+
+    Each distinct n-gram counts once, or as often as it occurs with `repeats`. switch(context, token): a learned gate;
+    only n-grams whose value is over the threshold are scored, and with none of them z is 0 and p 1."""
     prf = prf or md5_green()
-    grams = let(F.col(toks), lambda t: F.transform(positions(t, n - 1), lambda i: F.concat_ws("\0", context(t, i, n), F.get(t, i))))
-    part = lambda y, k: F.split_part(y, F.lit("\0"), F.lit(k))  # noqa: E731  (texts are made distinct by hashing, structs pair by pair)
-    x = df.select(*keys, F.array_distinct(grams).alias("g")).where("size(g) > 0")
-    x = x.select(*keys, F.size("g").cast("long").alias("n_scored"), F.size(F.filter("g", lambda y: prf(part(y, 1), part(y, 2)))).cast("long").alias("n_green"))
-    return x.withColumn("z", z_score(F.col("n_green"), F.col("n_scored")))
+    over = (lambda c, t: switch(c, t) > threshold) if switch else (lambda c, t: F.lit(True))
+    # an n-gram's text with its marks (scored, green): texts are made distinct by hashing, structs pair by pair
+    mark = lambda c, t: F.concat(c, F.lit("\0"), t, F.when(F.coalesce(over(c, t), F.lit(False)), F.when(prf(c, t), "2").otherwise("1")).otherwise("0"))
+    grams = let(F.col(toks), lambda t: F.transform(positions(t, n - 1), lambda i: mark(context(t, i, n), F.get(t, i))))
+    grams = grams if repeats else F.array_distinct(grams)
+    ends = lambda y, *m: F.substring(y, -1, 1).isin(*m)
+    counts = let(grams, lambda g: F.struct(F.size(g).alias("_any"), F.size(F.filter(g, lambda y: ends(y, "1", "2"))).cast("long").alias("n_scored"), F.size(F.filter(g, lambda y: ends(y, "2"))).cast("long").alias("n_green")))
+    # one row or none by explode: a filter would be pushed below and make everything twice
+    x = df.select(*keys, F.explode(F.filter(F.array(counts), lambda c: c["_any"] > 0)).alias("_c")).select(*keys, "_c.n_scored", "_c.n_green")
+    z = z_score(F.col("n_green"), F.col("n_scored"), gamma)
+    return x.withColumn("z", F.coalesce(z, F.lit(0.0))).withColumn("p", F.when(F.col("n_scored") == 0, 1.0).otherwise(upper_tail(F.col("z"))))
 
 
 def g_values(toks: Column, n: int, keys: int) -> Column:

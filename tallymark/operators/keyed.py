@@ -1,20 +1,22 @@
-"""Detectors whose pseudo-random partition Spark's functions can't express: Arrow-batched pandas functions.
-
-Each distinct seed's work is kept in a bounded table of the worker, so common contexts cost once.
-"""
+"""Detectors whose pseudo-random partition Spark's functions can't express: green lists as a table of bits by context,
+soft edit distances in blocks of bounded size, pairs by seeded bits."""
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.files import kept
+
 
 def context_seed(context: str, key: int) -> int:
     """The low 64 bits of SHA3-512 of the context, under the key."""
@@ -39,23 +41,79 @@ def green_ids(seed: int, vocabulary: int, gamma: float, tail: bool = False) -> f
     return frozenset((permutation(vocabulary, seed)[-k:] if tail else permutation(vocabulary, seed, k)).tolist())
 
 
-def seeded_mask(vocabulary: int, gamma: float = 0.5, n: int = 2, key: int = 15485863, simple: bool = False, tail: bool = False):
-    """A pandas function of array<int> ids -> array<boolean> of the positions from n - 1 on.
-
-    simple: the seed is key x previous id; else it is the digest of the n - 1 ids before, nearest first."""
-
-    @F.pandas_udf("array<boolean>")
-    def mask(ids: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            start = 1 if simple else n - 1
-            seeds = [key * int(t[i - 1]) if simple else context_seed(",".join(str(t[i - k]) for k in range(1, n)), key) for i in range(start, len(t))]
-            return [int(t[i]) in green_ids(s, vocabulary, gamma, tail) for i, s in zip(range(start, len(t)), seeds)]
-
-        return ids.map(one)
-
-    return mask
+def permutations(n: int, seeds: list[int], first: int | None = None) -> np.ndarray:
+    """`permutation` of every seed at once, a column each (places 0..first - 1): the same swaps, seed by seed side by side."""
+    stop = n - 1 if first is None else min(first, n - 1)
+    draws = np.empty((len(seeds), max(stop, 0)), np.int64)
+    for row, seed in zip(draws, seeds):
+        bits = np.random.MT19937()
+        bits._legacy_seeding(seed & 0xFFFFFFFF)
+        row[:] = bits.random_raw(max(stop, 0))
+    draws = np.ascontiguousarray(draws.T)
+    out, all_ = np.repeat(np.arange(n, dtype=np.int32)[:, None], len(seeds), axis=1), np.arange(len(seeds))
+    for i in range(stop):
+        j = i + draws[i] % (n - i)
+        taken = out[j, all_]
+        out[j, all_] = out[i]
+        out[i] = taken
+    return out if first is None else out[:first]
+
+
+def green_words(seeds: list[int], vocabulary: int, gamma: float, tail: bool = False) -> np.ndarray:
+    """The green list of each seed as bits, 64 ids to a (signed) word."""
+    k = int(vocabulary * gamma)
+    own = permutations(vocabulary, seeds)[vocabulary - k :] if tail else permutations(vocabulary, seeds, k)
+    bits = np.zeros((len(seeds), -(-vocabulary // 64) * 64), np.uint8)
+    bits[np.arange(len(seeds)), own] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+
+#: Bytes of permutation that are swapped side by side.
+SIDE = 8 << 20
+
+
+def green_lists(contexts: DataFrame, vocabulary: int, gamma: float, key: int, simple: bool = False, tail: bool = False) -> DataFrame:
+    """contexts (ctx string first) with `green array<long>`: each context's list, built once.
+
+    simple: the seed is key x the id in ctx; else the digest of ctx under the key."""
+    step = max(1, SIDE // (4 * vocabulary))
+    schema = T.StructType([*contexts.schema.fields, T.StructField("green", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, len(whole), step):
+                b = whole.slice(a, step)
+                ctx = b.column(0).to_pylist()
+                words = green_words([key * int(c) if simple else context_seed(c, key) for c in ctx], vocabulary, gamma, tail)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ctx) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "green"])
+
+    return contexts.mapInArrow(run, schema)
+
+
+def keyed_scores(df: DataFrame, keys: list[str], ids: str, vocabulary: int, gamma: float = 0.5, n: int = 2, key: int = 15485863, simple: bool = False, tail: bool = False, hot: int = 1000) -> DataFrame:
+    """keys, n_scored, n_green of every row under seeded green lists, from a table of lists by distinct context.
+
+    ids: array<int>. A position is scored from n - 1 ids on (simple: from 1 on); its context is the ids before it,
+    nearest first. The contexts of the corpus are made distinct by an aggregate, each list is built once and written
+    as bits, and membership is a bit test in the JVM. Contexts that hold at least 1 of `hot` positions (so there are
+    `hot` at most) are broadcast; for all others, none of them common, positions meet the lists by shuffle. Rows
+    without a scored position (null ids too) have zeros; repeated rows stay apart; an id outside the vocabulary is not green."""
+    spark, back = df.sparkSession, 2 if simple else n
+    rows = kept(df.select(*[F.col(k) for k in keys], F.col(ids).cast("array<int>").alias("_ids"), F.monotonically_increasing_id().alias("_nr")), "keyed-ids")
+    at = F.when(F.size("_ids") >= back, F.sequence(F.lit(back - 1), F.size("_ids") - 1)).otherwise(F.array().cast("array<int>"))
+    each = rows.select("_nr", F.explode(F.transform(at, lambda i: F.struct(F.concat_ws(",", *[F.get("_ids", i - k).cast("string") for k in range(1, back)]).alias("c"), F.get("_ids", i).alias("t")))).alias("x"))
+    each = each.select("_nr", F.col("x.c").alias("_ctx"), F.col("x.t").alias("_tok"))
+    counts = each.groupBy(F.col("_ctx").alias("ctx")).agg(F.count("*").alias("positions"))
+    lists = kept(green_lists(counts, vocabulary, gamma, key, simple, tail), "green-lists")
+    common = F.col("positions") * hot >= (lists.agg(F.sum("positions")).first()[0] or 0)
+    first = each.join(F.broadcast(lists.where(common)), F.col("_ctx") == F.col("ctx"), "left")
+    rest = first.where("ctx IS NULL").select("_nr", "_ctx", "_tok").join(lists.where(~common), F.col("_ctx") == F.col("ctx"))
+    green = F.expr(f"_tok >= 0 AND _tok < {vocabulary} AND getbit(get(green, _tok div 64), _tok % 64) = 1")
+    both = first.where("ctx IS NOT NULL").select("_nr", green.alias("g")).union(rest.select("_nr", green.alias("g")))
+    sums = both.groupBy(F.col("_nr").alias("_of")).agg(F.count("*").alias("n_scored"), F.count_if("g").alias("n_green"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return rows.join(sums, F.col("_nr") == F.col("_of"), "left").select(*[F.col(k) for k in keys], zero("n_scored"), zero("n_green"))
 
 
 def pair_green(logits: np.ndarray, seed: int) -> np.ndarray:
@@ -95,39 +153,64 @@ def edit_statistic(tokens: np.ndarray, keys: np.ndarray, block: int) -> float:
     return min(soft_edit(tokens[i : i + block], keys[(j + np.arange(block)) % n]) for i in range(len(tokens) - block + 1) for j in range(n))
 
 
-def edit_statistics(tokens: np.ndarray, keys: np.ndarray, block: int) -> np.ndarray:
-    """edit_statistic for several keys (runs x length x vocabulary) at once: one table for all keys, blocks and offsets."""
-    block, n = min(block, len(tokens)), keys.shape[1]
-    cost = np.log1p(-keys[:, :, tokens])
-    many = len(tokens) - block + 1
-    turned = [cost[:, (np.arange(n) + b) % n] for b in range(block)]
-    row = [np.zeros((len(keys), n, many)) for _ in range(block + 1)]
+@lru_cache(maxsize=64)
+def random_key(run: int, length: int, vocabulary: int, seed: int) -> np.ndarray:
+    """The key of a run (0: the detector's own), ids x length, as the costs ln(1 - xi)."""
+    return np.log1p(-np.random.RandomState((seed + run) & 0xFFFFFFFF).random_sample((vocabulary, length)).astype(np.float32))
+
+
+def edit_minima(tokens: np.ndarray, costs: np.ndarray, block: int, gamma: float = 0.0) -> np.ndarray:
+    """For each run (costs: ids x runs x length) the least soft edit distance of any block of tokens at any (cyclic) offset.
+
+    One table for all runs, offsets and block starts: cell (a, b) of every block is one array."""
+    n, many = costs.shape[2], len(tokens) - block + 1
+    own = costs[tokens].transpose(1, 2, 0)  # runs x offsets x tokens
+    turned = [np.roll(own, -b, axis=1) for b in range(block)]
+    row = [np.full((own.shape[0], n, many), gamma * b, np.float32) for b in range(block + 1)]
     for a in range(block):
-        new = [np.zeros_like(row[0])]
+        new = [np.full_like(row[0], gamma * (a + 1))]
         for b in range(block):
-            new.append(np.minimum(np.minimum(row[b] + turned[b][:, :, a : a + many], row[b + 1]), new[b]))
+            cell = row[b] + turned[b][:, :, a : a + many]
+            np.minimum(cell, row[b + 1] + gamma if gamma else row[b + 1], out=cell)
+            new.append(np.minimum(cell, new[b] + gamma if gamma else new[b], out=cell))
         row = new
     return row[-1].min(axis=(1, 2))
 
 
-def edit_p_value(vocabulary: int, length: int = 16, block: int = 8, runs: int = 100, seed: int = 42):
-    """A pandas function of array<int> ids -> p: (random keys that fit at least as well + 1) / (runs + 1); no ids: 1."""
+def edit_statistics(df: DataFrame, keys: list[str], ids: str, vocabulary: int, length: int = 16, block: int = 4, runs: int = 100, seed: int = 42, gamma: float = 0.0, chunk: int = 256) -> DataFrame:
+    """keys, run, stat: the soft edit distance of each row's ids to the detector's key (run 0) and to each random one.
+
+    The work falls into rows of bounded size, `chunk` block starts against a few keys, that a shuffle deals out: a
+    long text is many tasks. A row's minimum is an aggregate over them. Rows without ids have no statistics; texts
+    shorter than a block are one block. keys must tell rows apart."""
+    few = max(1, min(16, (1 << 24) // (length * vocabulary)))
+    starts = F.when(F.size(ids) > 0, F.sequence(F.lit(0), F.greatest(F.size(ids) - block, F.lit(0)), F.lit(chunk))).otherwise(F.array().cast("array<int>"))
+    parts = df.select(*keys, F.col(ids).alias("_ids"), F.explode(starts).alias("_s"))
+    parts = parts.select(*keys, F.slice("_ids", F.col("_s") + 1, F.lit(chunk + block - 1)).alias("_t"), "_s", F.explode(F.sequence(F.lit(0), F.lit(runs), F.lit(few))).alias("_r"))
+    parts = parts.repartition(*keys, "_s", "_r").select(*keys, "_t", "_r")
+    schema = T.StructType([*[parts.schema[k] for k in keys], T.StructField("_r", T.IntegerType()), T.StructField("_m", T.ArrayType(T.FloatType()))])
 
-    @F.pandas_udf("double")
-    def p(ids: pd.Series) -> pd.Series:
-        rng = np.random.RandomState(seed)
-        keys = rng.random_sample((runs + 1, length, vocabulary))  # the first is the detector's own
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, (tokens, first) = [], (b.column(b.schema.get_field_index(c)) for c in ("_t", "_r"))
+            for t, r in zip(tokens, first.to_pylist()):
+                t = np.asarray(t.values.to_numpy(zero_copy_only=False), np.int64)
+                costs = np.stack([random_key(x, length, vocabulary, seed) for x in range(r, min(r + few, runs + 1))], 1)
+                found.append(edit_minima(t, costs, min(block, len(t)), gamma))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], first, pa.array(found, pa.list_(pa.float32()))], [*keys, "_r", "_m"])
 
-        def one(t) -> float:
-            if t is None or len(t) == 0:
-                return 1.0
-            t = np.asarray(t, np.int64)
-            got = edit_statistics(t, keys, block)
-            return (int((got[1:] <= got[0]).sum()) + 1) / (runs + 1)
+    each = parts.mapInArrow(run, schema).select(*keys, "_r", F.posexplode("_m").alias("_p", "_v"))
+    return each.groupBy(*keys, (F.col("_r") + F.col("_p")).alias("run")).agg(F.min("_v").cast("double").alias("stat"))
 
-        return ids.map(one)
 
-    return p
+def null_p_value(stats: DataFrame, keys: list[str], run: str = "run", stat: str = "stat") -> DataFrame:
+    """keys, stat (of run 0), p: (other runs with a statistic no greater + 1) / (other runs + 1). No run 0: p 1."""
+    own = stats.where(F.col(run) == 0).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(stat).alias("_own"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    x = stats.join(own, on, "left")
+    least = F.count_if((F.col(run) != 0) & (F.col(stat) <= F.col("_own")))
+    g = x.groupBy(*keys).agg(F.max("_own").alias("stat"), least.alias("_k"), F.count_if(F.col(run) != 0).alias("_n"))
+    return g.select(*keys, "stat", F.when(F.col("stat").isNull(), 1.0).otherwise((F.col("_k") + 1) / (F.col("_n") + 1)).alias("p"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -136,5 +219,6 @@ def exact_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)), na_action="ignore")
 
 
-def token_ids(tokens: Column, vocabulary: int) -> Column:
-    return F.transform(tokens, lambda t: (F.crc32(t) % vocabulary).cast("int"))
+def token_ids(tokens: Column) -> Column:
+    """A vocabulary of 256 ids: the first byte of each token's md5."""
+    return F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 2), 16, 10).cast("int"))

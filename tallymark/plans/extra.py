@@ -276,13 +276,6 @@ def p28_flags(spark, d):
 # --- detection ------------------------------------------------------------------------------
 
 
-@query()
-def d4_seeded_permutation(spark, d):
-    """Green lists from a seeded permutation, the seed from a digest of the context."""
-    x = _toks(spark, d).withColumn("m", K.seeded_mask(256, 0.5, 2)(K.token_ids(F.col("t"), 256)))
-    return x.select("doc_id", F.size("m").alias("n_scored"), F.size(F.filter("m", lambda g: g)).alias("n_green"))
-
-
 @query()
 def d14_pair_green(spark, d):
     """One of each two neighbours by logit is green."""
@@ -290,13 +283,6 @@ def d14_pair_green(spark, d):
     return e.select("vec_id", K.pair_token_green(F.col("embedding"), (F.col("vec_id") % 8).cast("int"), F.col("vec_id")).alias("green"))
 
 
-@query()
-def d20_edit_p_value(spark, d):
-    """Soft edit distance to a random key against random keys, on the benchmark's items."""
-    b = table(spark, d, "benchmark").select("item_id", K.token_ids(D.tokens(F.col("text")), 64).alias("ids"))
-    return b.select("item_id", K.edit_p_value(64)(F.col("ids")).alias("p"))
-
-
 @query(f"WITH {POS_SQL} SELECT doc_id, i - 1 AS pos, {green_sql('t[i-1]', 't[i]')} AS green FROM pos WHERE i >= 2 UNION ALL SELECT doc_id, 0, false FROM tok WHERE len(t) >= 1")
 def d21_token_colours(spark, d):
     """A mask padded on the left with false to one flag a token."""

@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import extra, reports, stores  # noqa: F401  (register their own)
+    from . import extra, keyed_tables, reports, stores  # noqa: F401  (register their own)
 
     return dict(QUERIES)
 
@@ -115,8 +115,8 @@ def d13_entropy(spark, d):
 SELECT doc_id, n_scored, n_green, round((n_green - 0.5 * n_scored) / sqrt(n_scored * 0.25), 6) AS z FROM s""")
 def d16_distinct_ngram_score(spark, d):
     """Each n-gram of a document counts once."""
-    x = D.distinct_ngrams(_toks(spark, d), ["doc_id"], "t", 2)
-    return x.where("n_scored > 0").select("doc_id", "n_scored", "n_green", _r(F.col("z"), "z"))
+    x = D.ngram_scores(_toks(spark, d), ["doc_id"], "t", 2)
+    return x.select("doc_id", "n_scored", "n_green", _r(F.col("z"), "z"))
 
 
 @query(f"""WITH {POS_SQL} SELECT doc_id, i - 1 AS t, round((sum(CASE WHEN {green_sql('t[i-1]', 't[i]')} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) - 0.5 * (i - 1)) / sqrt((i - 1) * 0.25), 6) AS z FROM pos WHERE i >= 2""")

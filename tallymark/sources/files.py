@@ -23,6 +23,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{(shared or '/tmp/checkpoints/tallymark').rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: later passes and lost executors repeat nothing of it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Typed rows of JSON lines, plain or gzip (which Spark can't split); a malformed line is an error."""
     return spark.read.schema(schema).json(path, mode="FAILFAST")
