@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle, slices, strings
+from .linalg import inverse as inverted
+from .linalg import times
 from .tokens import SLICE, encoder
 
 CAPACITY, GRAIN, END_ID, SALTS = 4096, 16, 2, 256
@@ -65,14 +67,14 @@ def patterns(demand: np.ndarray, rounds: int = 4000) -> list[tuple[np.ndarray, i
     for j, r in enumerate(rows):
         basis[r, j] = room // (r + 1)
     inverse = np.diag(1 / basis[rows, np.arange(len(rows))].astype(float))
-    use = inverse @ need
+    use = times(inverse, need)
     for step in range(1, rounds + 1):
         price = np.zeros(room)
         price[rows] = np.maximum(inverse.sum(0), 0)
         gain, column = knapsack(price, room)
         if gain <= 1 + 1e-7:
             break
-        d = inverse @ column[rows].astype(float)
+        d = times(inverse, column[rows].astype(float))
         if not (d > 1e-9).any():
             break
         ratio = np.where(d > 1e-9, np.maximum(use, 0) / np.where(d > 1e-9, d, 1), np.inf)
@@ -85,8 +87,8 @@ def patterns(demand: np.ndarray, rounds: int = 4000) -> list[tuple[np.ndarray, i
         inverse[others] -= d[others, None] * inverse[j]
         basis[:, j] = column
         if step % 200 == 0:
-            inverse = np.linalg.inv(basis[rows].astype(float))
-            use = inverse @ need
+            inverse = inverted(basis[rows])
+            use = times(inverse, need)
     for j in np.argsort(-use, kind="stable"):
         p = basis[:, j].copy()
         p[np.setdiff1d(np.arange(room), rows)] = 0
