@@ -6,10 +6,11 @@ then compress every path), are the minimal groups: a component ends where tokens
 sides end. The members of a component that end together are its links. Links are counted
 by id pair over the whole corpus, and each document gets its links' counts back.
 
-Neither tokenizer has a token that reaches over a single space between two visible
-characters, so a text falls into chunks there; a worker aligns each distinct chunk of
-4 MB of text once and keeps a bounded table. tests/llm holds ids and groups against the
-libraries on whole texts.
+No token of either side reaches over a single space between visible characters, a line
+break next to one, or a change between letters and punctuation that no piece of B
+holds, so a text falls into chunks there; a worker aligns each distinct chunk of 4 MB of
+text once and keeps a bounded table. tests/llm holds ids and groups against the libraries
+on whole texts.
 
 Counting is by shuffle on the pair, combined first. For the way back, pairs with at
 least 1 of ``HOT`` links are broadcast (there are ``HOT`` of them at most, whatever the
@@ -22,7 +23,9 @@ Repeated rows and null doc_ids are documents of their own. Other columns are not
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import repeat
@@ -40,8 +43,14 @@ HOT = 100_000
 #: Ids of B in a pair's number a * SIDE + b.
 SIDE = 1 << 24
 
-VISIBLE = np.zeros(256, bool)
+VISIBLE, LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 VISIBLE[33:127] = True
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+MARK[[b for b in range(33, 127) if not chr(b).isalnum() and b != 39]] = True  # an apostrophe may begin a token of letters
+#: Chunks that are one match of A's split pattern, whose model can be asked without the pattern.
+SINGLE = re.compile(r" ?(?:[A-Za-z]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+#: Longer chunks are not kept.
+KEPT = 64
 LATIN = 0xC3  # the first byte of the letters from U+00C0 to U+00FF, none of which is a space
 
 
@@ -58,11 +67,18 @@ def unite(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The values of two ascending arrays, once each, ascending."""
+    there = np.zeros(max(a[-1:].max(initial=-1), b[-1:].max(initial=-1)) + 1, bool)
+    there[a] = there[b] = True
+    return np.flatnonzero(there)
+
+
 def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The component of each token of A and of B, named by its first token of A.
 
     Both sides cover the bytes 0..end without gaps or empty tokens; ends ascend."""
-    ends = np.union1d(a_ends, b_ends)
+    ends = union(a_ends, b_ends)
     a, b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)  # the tokens over the bytes before each end overlap
     root = unite(len(a_ends) + len(b_ends), a, b + len(a_ends))
     return root[: len(a_ends)], root[len(a_ends) :]
@@ -75,19 +91,29 @@ def links(a_ends: np.ndarray, b_ends: np.ndarray, a_group: np.ndarray, b_group:
     return a, b[a]
 
 
-def chunk_cuts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
-    """Starts of texts and of the single spaces between visible characters, and the end."""
-    p = np.flatnonzero(data == 32)
-    p = p[(p > 1) & (p < len(data) - 1)]
-    left = VISIBLE[data[p - 1]] | ((data[p - 1] >= 0x80) & (data[p - 2] == LATIN))
-    right = VISIBLE[data[p + 1]] | (data[p + 1] == LATIN)
-    return np.union1d(p[left & right], texts)
+def chunk_cuts(data: np.ndarray, texts: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Starts of chunks in the texts data[texts[i]:texts[i + 1]], and the end. joined[x, y]: a piece of B holds the byte y behind x."""
+    if len(data) < 3:
+        return np.unique(texts)
+    x, y, z = data[:-2], data[1:-1], data[2:]  # cuts before y, with one byte more on either side
+    seen, cut = VISIBLE[x], np.zeros(len(data) + 1, bool)
+    left = seen.copy()
+    left[1:] |= (x[1:] >= 0x80) & (x[:-1] == LATIN)
+    own = (y == 32) & left & (VISIBLE[z] | (z == LATIN))
+    own |= (y == 10) & seen
+    own |= ((LETTER[x] & MARK[y]) | (MARK[x] & LETTER[y])) & ~joined[x, y]
+    cut[1 : len(data) - 1] = own
+    cut[2 : len(data)] |= (y == 10) & seen & VISIBLE[z]  # behind a line break between visible characters
+    cut[texts] = True
+    return np.flatnonzero(cut)
 
 
 class Aligner:
-    """Ids, groups and links of chunks; each begins with a space."""
+    """Ids, groups and links of chunks.
 
-    def __init__(self, a_path: str, b_path: str, most: int = 1 << 18, room: int = 1 << 26) -> None:
+    B puts a space before what it encodes, so chunks go to it behind a line break, which is in no piece of its own."""
+
+    def __init__(self, a_path: str, b_path: str, most: int = 1 << 19) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its core, not the machine
         import sentencepiece
         from tokenizers import Tokenizer
@@ -97,9 +123,16 @@ class Aligner:
         value = {c: b for b, c in enumerate(BYTE_CHARS)}
         own = [self.a.id_to_token(i) for i in range(self.a.get_vocab_size())]
         self.a_bytes = self._table([bytes(value[c] for c in t) if t and all(c in value for c in t) else b"" for t in own])
-        self.b_bytes = self._table([self._piece(i) for i in range(self.b.get_piece_size())])
+        pieces = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.b_bytes = self._table(pieces)
+        self.joined = np.zeros((256, 256), bool)
+        for p in pieces:
+            for x, y in itertools.pairwise(p):
+                self.joined[x, y] = True
+        if self.joined[10].any() or self.joined[:, 10].any() or len(self.b.encode("\n")) != 2:
+            raise ValueError("a piece of B holds a line break")
         self.digits = self._decimals(max(len(own), self.b.get_piece_size()))
-        self.most, self.room = most, room
+        self.most = most
         self.clear()
 
     def _piece(self, i: int) -> bytes:
@@ -123,7 +156,7 @@ class Aligner:
         return (place % 10 + 48).astype(np.uint8), shown
 
     def clear(self) -> None:
-        self.index, self.held = {}, 0
+        self.index = {}
         #: Of each chunk: whether both sides spell it, tokens of A, of B, groups, links.
         self.facts = np.zeros((0, 5), np.int64)
         self.said: list[bytes] = []
@@ -131,10 +164,20 @@ class Aligner:
 
     def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A one after the other, how many each chunk has, and the same of B."""
-        a = [x.ids for x in self.a.encode_batch(chunks, add_special_tokens=False)]
-        b = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        flat = lambda x: np.fromiter((i for y in x for i in y), np.int64)
-        return flat(a), np.fromiter(map(len, a), np.int64, len(a)), flat(b), np.fromiter(map(len, b), np.int64, len(b))
+        a, many, tokenize, single = [], [], self.a.model.tokenize, SINGLE.fullmatch
+        for c in chunks:
+            if single(c):
+                a += [t.id for t in tokenize(c if c[0] != " " else f"{BYTE_CHARS[32]}{c[1:]}")]
+            else:
+                a += self.a.encode(c, add_special_tokens=False).ids
+            many.append(len(a))
+        b = self.b.encode([f"\n{c}" for c in chunks], num_threads=1)
+        nb = np.fromiter(map(len, b), np.int64, len(b)) - 2
+        flat = np.fromiter(itertools.chain.from_iterable(b), np.int64, int(nb.sum()) + 2 * len(b))
+        keep = np.ones(len(flat), bool)
+        first = np.cumsum(nb + 2) - nb - 2
+        keep[first] = keep[first + 1] = False
+        return np.array(a, np.int64), np.diff(np.array([0, *many])), flat[keep], nb
 
     @staticmethod
     def _spelled(table, ids: np.ndarray, many: np.ndarray, raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -183,20 +226,26 @@ class Aligner:
         return facts, [text[x:y] for x, y in zip(stop[:-1], stop[1:])], a[at] * SIDE + b[bt], facts[:, 4]
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
-        """The number of each (distinct) chunk in the table, which learns those that it lacks."""
+        """The number of each (distinct) chunk in the table, which learns those that it lacks.
+
+        What it can't keep (long chunks, and all new ones when it is full) stays until the next call."""
+        n = len(self.index)
+        self.facts, self.said, self.begin = self.facts[:n], self.said[:n], self.begin[: n + 1]
+        self.pairs = self.pairs[: self.begin[-1]]
         k = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
         miss = np.flatnonzero(k < 0)
-        if self.index and (len(self.index) + len(miss) > self.most or self.held > self.room):
+        if n >= self.most and 2 * len(miss) > len(chunks):  # other texts than those that it knows
             self.clear()
-            miss = np.arange(len(chunks))
+            n, miss = 0, np.arange(len(chunks))
         if len(miss):
+            miss = np.array(sorted(miss.tolist(), key=lambda i: len(chunks[i]) > KEPT))
             own = [chunks[i] for i in miss.tolist()]
             facts, said, pairs, many = self.align(own)
-            k[miss] = len(self.index) + np.arange(len(miss))
-            self.index.update(zip(own, k[miss].tolist()))
+            k[miss] = n + np.arange(len(miss))
             self.facts, self.said = np.concatenate((self.facts, facts)), self.said + said
             self.pairs, self.begin = np.concatenate((self.pairs, pairs)), np.concatenate((self.begin, self.begin[-1] + np.cumsum(many)))
-            self.held += sum(map(len, own))
+            if n < self.most:
+                self.index.update(zip(itertools.takewhile(lambda c: len(c) <= KEPT, own), range(n, n + len(own))))
         return k
 
     def texts(self, column: pa.Array) -> pa.RecordBatch:
@@ -205,7 +254,7 @@ class Aligner:
         empty = pc.equal(column, "")
         data, texts = strings(pc.if_else(empty, column, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), column, pa.scalar("", pa.large_string()))))
         data, texts = data[texts[0] : texts[-1]], texts - texts[0]
-        cuts = chunk_cuts(data, texts)
+        cuts = chunk_cuts(data, texts, self.joined)
         chunks, which = numbered(data, cuts)
         k = self.numbers(chunks)[which] if chunks else np.zeros(0, np.int64)
         first = np.searchsorted(cuts, texts)
