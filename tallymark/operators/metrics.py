@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normal_cdf
+from .scans import before
 
 
 def score_counts(df: DataFrame, groups: list[str], score: str, positive: str) -> DataFrame:
@@ -14,11 +15,9 @@ def score_counts(df: DataFrame, groups: list[str], score: str, positive: str) ->
 
 
 def auroc(df: DataFrame, groups: list[str], score: str, positive: str) -> DataFrame:
-    """groups, n_pos, n_neg, auroc (ties count half). Ranks come from counts of different scores, not from rows."""
-    c = score_counts(df.where(F.col(score).isNotNull()), groups, score, positive)
-    w = Window.partitionBy(*groups).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    u = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0))
+    """groups, n_pos, n_neg, auroc (ties count half). Ranks come from counts of different scores, in running totals that no task holds whole."""
+    c = before(score_counts(df.where(F.col(score).isNotNull()), groups, score, positive), groups, score, ["neg"])
+    u = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
     g = c.groupBy(*groups).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), u.alias("u"))
     return g.select(*groups, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos").cast("double") * F.col("n_neg"))).alias("auroc"))
 
@@ -26,9 +25,12 @@ def auroc(df: DataFrame, groups: list[str], score: str, positive: str) -> DataFr
 def tpr_at_fpr(df: DataFrame, groups: list[str], score: str, positive: str, limits: tuple[float, ...]) -> DataFrame:
     """groups and tpr_<i> for each limit: the highest TPR of a threshold whose FPR is within the limit, 0 if none."""
     c = score_counts(df.where(F.col(score).isNotNull()), groups, score, positive)
-    down = Window.partitionBy(*groups).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*groups)
-    c = c.select(*groups, F.try_divide(F.sum("pos").over(down), F.sum("pos").over(all_)).alias("tpr"), F.try_divide(F.sum("neg").over(down), F.sum("neg").over(all_)).alias("fpr"))
+    x = before(c, groups, score, ["pos", "neg"], descending=True)
+    whole = c.groupBy(*[F.col(g).alias(f"_w{k}") for k, g in enumerate(groups)]).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    on = F.lit(True)
+    for k, g in enumerate(groups):
+        on = on & F.col(g).eqNullSafe(F.col(f"_w{k}"))
+    c = x.join(whole, on).select(*groups, F.try_divide(F.col("pos_before") + F.col("pos"), F.col("_pos")).alias("tpr"), F.try_divide(F.col("neg_before") + F.col("neg"), F.col("_neg")).alias("fpr"))
     return c.groupBy(*groups).agg(*[F.coalesce(F.max(F.when(F.col("fpr") <= x, F.col("tpr"))), F.lit(0.0)).alias(f"tpr_{i}") for i, x in enumerate(limits)])
 
 

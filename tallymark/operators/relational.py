@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import before
+
 
 def cohort(variants: DataFrame, key: str, variant: str, value: str) -> DataFrame:
     """Keys whose value is non-null for every variant that occurs."""
@@ -55,8 +57,9 @@ def hashed_sample(df: DataFrame, groups: list[str], key: str, n: int) -> DataFra
 
 
 def slices(df: DataFrame, groups: list[str], key: str, size: int) -> DataFrame:
-    """df with its slice number: `size` rows each, in the order of key."""
-    return df.withColumn("slice", F.floor((F.row_number().over(Window.partitionBy(*groups).orderBy(key)) - 1) / size))
+    """df with its slice number: `size` rows each, in the order of the number key."""
+    x = before(df.withColumn("_one", F.lit(1)), groups, key, ["_one"])
+    return x.withColumn("slice", F.floor(F.col("_one_before") / size)).drop("_one", "_one_before")
 
 
 def repeated(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import detection as D
 from ..operators import keyed as K
 from ..operators import metrics as M
 from ..operators import relational as R
+from ..operators import scans as N
 from ..operators import rewrite as W
 from ..sources import files as IO
 from .lake import GEN_SQL, OBF_SQL, POS_SQL, gen, green_sql, obf, table, tail_sql
@@ -405,8 +406,9 @@ def a15_config_row(spark, d):
 def a17_high_z(spark, d):
     """What the variants do to the twenty highest scores."""
     t = F.broadcast(R.top_k(gen(spark, d).select("id", "z"), 20, F.desc("z"), F.asc("id")).select("id", "z"))  # twenty rows
-    z2 = F.col("z2")
-    return obf(spark, d).join(t, "id").groupBy("obf").agg(_r(F.avg("z"), "old_mean"), _r(F.avg(z2), "new_mean"), _r(F.median(z2), "new_median"), _r(F.min(z2), "new_min"), _r(F.max(z2), "new_max"), F.count_if(z2 > 4).alias("still"))
+    z2, x = F.col("z2"), IO.kept(obf(spark, d).join(t, "id").select("obf", "z", "z2"), "high-z")
+    g = x.groupBy("obf").agg(_r(F.avg("z"), "old_mean"), _r(F.avg(z2), "new_mean"), _r(F.min(z2), "new_min"), _r(F.max(z2), "new_max"), F.count_if(z2 > 4).alias("still"))
+    return N.with_quantiles(g, x, ["obf"], {"new_median": ("z2", 0.5)}).withColumn("new_median", F.round("new_median", 6))
 
 
 @query(f"WITH {POS_SQL}, e AS (SELECT lang, CAST('0x' || substr(md5(t[i]), 1, 1) AS INTEGER) / 4.0 AS e FROM pos), s AS (SELECT lang, round(avg(e), 6) AS entropy FROM e GROUP BY 1), w AS (SELECT lang, round(avg(len(t)), 6) AS mean_len, round(avg(CASE WHEN len(t) > 0 THEN greatest(len(t) - 1, 0) * 1.0::DOUBLE / len(t) END), 6) AS fraction FROM tok GROUP BY 1) SELECT w.lang, entropy, mean_len, fraction FROM w LEFT JOIN s ON w.lang IS NOT DISTINCT FROM s.lang")

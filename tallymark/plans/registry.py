@@ -12,6 +12,7 @@ from ..functions import scalar as S
 from ..operators import detection as D
 from ..operators import metrics as M
 from ..operators import relational as R
+from ..operators import scans as N
 from .lake import GEN_SQL, OBF_SQL, POS_SQL, TOK_SQL, VARIANTS, gen, green_sql, obf, table, tail_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -417,7 +418,9 @@ def q5_compile_histogram(spark, d):
 
 @query("SELECT lang, sum(n_chars)::BIGINT AS total, count(*) AS n, round(avg(n_chars), 6) AS mean, round(quantile_cont(n_chars, 0.9), 6) AS p90 FROM documents WHERE source <> 'src0' GROUP BY 1")
 def q6_length(spark, d):
-    return _docs(spark, d).where("source <> 'src0'").groupBy("lang").agg(F.sum("n_chars").alias("total"), F.count("*").alias("n"), _r(F.avg("n_chars"), "mean"), _r(F.percentile("n_chars", F.lit(0.9)), "p90"))
+    x = _docs(spark, d).where("source <> 'src0'").select("lang", "n_chars")
+    g = x.groupBy("lang").agg(F.sum("n_chars").alias("total"), F.count("*").alias("n"), _r(F.avg("n_chars"), "mean"))
+    return N.with_quantiles(g, x, ["lang"], {"p90": ("n_chars", 0.9)}).withColumn("p90", F.round("p90", 6))
 
 
 @query(f"WITH {OBF_SQL}, a AS (SELECT obf, config, avg(1 - {tail_sql('z2')}) AS auroc FROM obf GROUP BY 1, 2) SELECT obf, round(avg(auroc), 6) AS mean, round(avg(CASE WHEN abs(auroc - 0.5) > 0.05 THEN 1 ELSE 0 END), 6) AS outside, round(stddev_samp(auroc), 6) AS std FROM a GROUP BY 1")

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import benchmarks as B
 from ..operators import detection as D
+from ..operators import gates as G
 from ..operators import metrics as M
 from ..operators import relational as R
 from ..operators import rewrite as W
+from ..operators import scans as N
 from ..sources import files as IO
 from .extra import CONFIG_SQL, _configs
 from .lake import GEN_SQL, OBF_SQL, VARIANTS, gen, obf, table, tail_sql
@@ -75,13 +77,15 @@ def a13_full_summary(spark, d):
     ok = table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("ok"))
     x = D.scored(_toks(spark, d), D.green_mask(F.col("t"), 3)).join(ok, "doc_id", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
     x = x.withColumns({"z": F.round("z", 6), "p": F.round(S.upper_tail(F.round("z", 6)), 6)})
+    x = IO.kept(x.select(F.col("lang").alias("config"), "ok", "z", "p", "n_scored", "n_green", "prediction", "invalid"), "scored")
     v, z = ~F.col("invalid"), F.col("z")
     on = lambda c, also=F.lit(True): F.when(v & also, c)
-    return x.groupBy(F.col("lang").alias("config")).agg(
+    g = x.groupBy("config").agg(
         F.count("*").alias("scored_cases"), F.count_if(v).alias("valid_cases"), F.count_if(~v).alias("invalid_cases"), F.count_if(v & F.col("prediction")).alias("detected_cases"),
         _r(F.try_divide(F.count_if(v & F.col("prediction")), F.count_if(v)), "detection_rate"), _r(M.ideal_auroc(on(z)), "auroc_all", 4), _r(M.ideal_auroc(on(z, F.col("ok"))), "auroc_passed", 4), F.count_if(v & F.col("ok")).alias("passed_cases"),
-        _r(F.avg(on(z)), "mean_z", 5), _r(F.median(on(z)), "median_z", 5), _r(F.min(on(z)), "min_z", 5), _r(F.max(on(z)), "max_z", 5), _r(F.avg(on(F.col("p"))), "mean_p", 5),
+        _r(F.avg(on(z)), "mean_z", 5), _r(F.min(on(z)), "min_z", 5), _r(F.max(on(z)), "max_z", 5), _r(F.avg(on(F.col("p"))), "mean_p", 5),
         F.sum(on(F.col("n_scored"))).cast("long").alias("tokens_scored"), F.sum(on(F.col("n_green"))).cast("long").alias("green_tokens"), _r(F.try_divide(F.sum(on(F.col("n_green"))), F.sum(on(F.col("n_scored")))), "weighted_green_fraction"))
+    return N.with_quantiles(g, x.where(v), ["config"], {"median_z": ("z", 0.5)}).withColumn("median_z", F.round("median_z", 5))
 
 
 #: A transform's seconds and the F1 of its lines, from the length of the text.
@@ -98,10 +102,13 @@ def a14_full_summary(spark, d):
     n = _docs(spark, d).select(F.col("doc_id").alias("id"), F.expr(_T14[0]).cast("double").alias("secs"), F.expr(_T14[1]).cast("double").alias("f1"), (1 + F.col("n_chars") % 3).alias("functions"))
     x = obf(spark, d).join(gen(spark, d).select("id", "z"), "id").join(n, "id").withColumn("ok", F.col("solution").isNotNull())
     on = lambda c: F.when(F.col("ok"), c)
-    p, p2, ok, gap = F.col("passed"), F.col("passed2"), F.col("ok"), F.col("z2") - F.col("z")
-    return x.groupBy("obf").agg(
-        F.count_if(ok).alias("transformed"), F.count_if(~ok).alias("failed"), _r(F.avg(on(F.col("secs"))), "mean_s"), _r(F.median(on(F.col("secs"))), "median_s"), _r(F.sum(on(F.col("secs"))), "total_s", 4), _r(F.sum(on(F.col("secs"))) / F.sum(on(F.col("functions"))), "s_per_function"),
-        _r(F.count_if(ok & p2) / F.count("*"), "solve_rate"), _r(F.try_divide(F.count_if(ok & p & p2), F.count_if(p)), "retained_rate"), *[F.count_if(ok & (F.col("f1") >= b)).alias(n) for n, b in _BANDS], _r(F.avg(on(gap)), "mean_z_change"), _r(F.median(on(gap)), "median_z_change"))
+    x = IO.kept(x.select("obf", "passed", "passed2", "ok", (F.col("z2") - F.col("z")).alias("gap"), "secs", "f1", "functions"), "transforms")
+    p, p2, ok, gap = F.col("passed"), F.col("passed2"), F.col("ok"), F.col("gap")
+    g = x.groupBy("obf").agg(
+        F.count_if(ok).alias("transformed"), F.count_if(~ok).alias("failed"), _r(F.avg(on(F.col("secs"))), "mean_s"), _r(F.sum(on(F.col("secs"))), "total_s", 4), _r(F.sum(on(F.col("secs"))) / F.sum(on(F.col("functions"))), "s_per_function"),
+        _r(F.count_if(ok & p2) / F.count("*"), "solve_rate"), _r(F.try_divide(F.count_if(ok & p & p2), F.count_if(p)), "retained_rate"), *[F.count_if(ok & (F.col("f1") >= b)).alias(n) for n, b in _BANDS], _r(F.avg(on(gap)), "mean_z_change"))
+    g = N.with_quantiles(g, x.where("ok"), ["obf"], {"median_s": ("secs", 0.5), "median_z_change": ("gap", 0.5)})
+    return g.withColumns({c: F.round(c, 6) for c in ("median_s", "median_z_change")})
 
 
 @query(f"""WITH {OBF_SQL}, r AS (SELECT o.*, g.z, d.source, CASE WHEN id2 % 5 = 0 THEN 'identity' WHEN id2 % 5 < 3 THEN 'rename' ELSE 'split' END AS rule FROM (SELECT *, id AS id2 FROM obf) o JOIN gen g ON o.id = g.id JOIN documents d ON d.doc_id = o.id),
@@ -287,31 +294,43 @@ def v7_status_report(spark, d):
     return x.select("config", "obf", "expected", zero("present").alias("present"), (F.col("expected") - zero("present")).alias("missing"), zero("finite").alias("finite"), zero("invalid").alias("invalid"))
 
 
-@query("""WITH w AS (SELECT conv_id, count(*) AS steps, count(DISTINCT turn) AS turns, min(turn) AS first, max(turn) AS last, count(*) FILTER (role NOT IN ('user', 'assistant', 'system')) AS odd FROM conversations GROUP BY 1)
-SELECT conv_id, CASE WHEN turns <> steps THEN 'duplicate' WHEN first <> 0 THEN 'no_baseline' WHEN last <> steps - 1 THEN 'gap' WHEN odd > 0 THEN 'kind' ELSE 'short' END AS fault FROM w WHERE turns <> steps OR first <> 0 OR last <> steps - 1 OR odd > 0 OR steps < 3""")
+_WALK_SQL = """w AS (SELECT conv_id, count(*) AS programs, count(*) - CASE WHEN conv_id % 11 = 0 THEN 2 ELSE 1 END AS trace, CASE WHEN conv_id % 5 > 0 THEN 'ok' ELSE 'error' END AS status,
+CASE WHEN conv_id % 10 = 0 THEN 'syntax' WHEN conv_id % 3 = 0 THEN 'projection' END AS error_type, conv_id % 13 > 0 AS detection, conv_id % 19 > 0 AS final FROM conversations GROUP BY conv_id),
+r AS (SELECT * FROM w UNION ALL SELECT * FROM w WHERE conv_id % 17 = 0)"""
+
+
+@query(f"""WITH {_WALK_SQL}, v AS (
+SELECT conv_id, 'failure' AS kind, conv_id || ': status ' || status || ' programs ' || programs || ' trace ' || greatest(trace, 0) AS message FROM r WHERE status <> 'ok' AND NOT (programs = 1 AND greatest(trace, 0) = 0 AND coalesce(error_type, '') <> '') AND NOT (programs = 4 AND trace = 3 AND coalesce(error_type, '') = 'projection')
+UNION ALL SELECT conv_id, 'programs', conv_id || ': programs ' || programs FROM r WHERE status = 'ok' AND programs <> 4 UNION ALL SELECT conv_id, 'trace', conv_id || ': trace ' || greatest(trace, 0) FROM r WHERE status = 'ok' AND greatest(trace, 0) <> 3
+UNION ALL SELECT conv_id, 'detection', conv_id || ': no detection' FROM r WHERE status = 'ok' AND NOT detection UNION ALL SELECT conv_id, 'final', conv_id || ': no final result' FROM r WHERE status = 'ok' AND NOT final
+UNION ALL SELECT conv_id, 'duplicate', conv_id || ': ' || count(*) || ' records' FROM r GROUP BY conv_id HAVING count(*) > 1),
+m AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY message) AS i FROM v)
+SELECT kind, count(*) AS n, string_agg(message, chr(10) ORDER BY i) FILTER (i <= 20) AS messages FROM m GROUP BY 1""")
 def v8_walk_faults(spark, d):
-    """Walks (conversations: programs by step) of which a step is double, missing or of a kind not allowed, or that are too short; the first fault of each."""
-    w = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("steps"), F.count_distinct("turn").alias("turns"), F.min("turn").alias("first"), F.max("turn").alias("last"), F.count_if(~F.col("role").isin("user", "assistant", "system")).alias("odd"))
-    fault = F.when(F.col("turns") != F.col("steps"), "duplicate").when(F.col("first") != 0, "no_baseline").when(F.col("last") != F.col("steps") - 1, "gap").when(F.col("odd") > 0, "kind").when(F.col("steps") < 3, "short")
-    return w.select("conv_id", fault.alias("fault")).where("fault IS NOT NULL")
+    """Violations of walks (conversations: a turn is a program) by kind, with the first messages: failures not allowed, step counts, missing results, repeated records."""
+    w = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list("turn").alias("programs"))
+    k = F.col("conv_id")
+    some = lambda n: F.when(k % n > 0, "x")
+    w = w.select(k.alias("record_id"), "programs", F.slice("programs", 1, F.greatest(F.size("programs") - F.when(k % 11 == 0, 2).otherwise(1), F.lit(0))).alias("trace"), F.when(k % 5 > 0, "ok").otherwise("error").alias("status"), F.when(k % 10 == 0, "syntax").when(k % 3 == 0, "projection").alias("error_type"), some(13).alias("detection"), some(19).alias("final"))
+    x = G.capped(G.walk_violations(w.unionAll(w.where("record_id % 17 = 0")), 3), 20)
+    return x.select("kind", "n", F.array_join("messages", "\n").alias("messages"))
 
 
 @query("WITH c AS (SELECT lang, count(DISTINCT source) AS configs, count(*) AS walks FROM documents GROUP BY 1) SELECT * FROM c")
 def v10_frozen_counts(spark, d):
-    """Configurations and walks of each scheme, equal to a frozen list (here the list that the other side of the plan counts), else the query fails."""
-    c = _docs(spark, d).groupBy("lang").agg(F.count_distinct("source").alias("configs"), F.count("*").alias("walks"))
-    frozen = _docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n")).groupBy(F.col("lang").alias("l2")).agg(F.count("source").alias("c2"), F.sum("n").alias("w2"))
-    x = c.join(frozen, F.col("lang").eqNullSafe(F.col("l2")), "full")
-    return R.required(x, (F.col("configs") == F.col("c2")) & (F.col("walks") == F.col("w2")), "the universe is not the frozen one").select("lang", "configs", "walks")
+    """Configurations and walks of each scheme, observed in the pass that writes them, against a frozen list on disk; any difference fails the query."""
+    path, x = IO.scratch(spark, "frozen"), _docs(spark, d).select("lang", "source")
+    G.freeze(x.groupBy("lang").agg(F.count_distinct("source").alias("configs"), F.count("*").alias("walks")), path)
+    counts = {"configs": lambda own: F.size(F.collect_set(F.when(own, F.col("source")))), "walks": lambda own: F.count_if(own)}
+    out, _ = G.against_frozen(x, path, "lang string, configs long, walks long", "lang", counts)
+    return out.groupBy("lang").agg(F.count_distinct("source").alias("configs"), F.count("*").alias("walks"))
 
 
 @query(f"WITH {CONFIG_SQL} SELECT config, round(avg(auroc), 6) AS auroc, count(*) AS n FROM m GROUP BY 1")
 def v11_gated_aggregate(spark, d):
-    """An aggregate behind a gate: no configuration may have an empty part, else the query fails."""
-    m = _configs(spark, d)[0]
-    bad = m.where("auroc IS NULL OR pass1 IS NULL").agg(F.count("*").alias("bad"))
-    x = m.crossJoin(F.broadcast(bad))  # one row
-    return R.required(x, F.col("bad") == 0, "the run is not complete").groupBy("config").agg(_r(F.avg("auroc"), "auroc"), F.count("*").alias("n"))
+    """An aggregate behind a gate: the pass that makes its rows sees that no configuration has an empty part, else the query fails."""
+    m = G.gated(_configs(spark, d)[0], "configurations", no_auroc=F.col("auroc").isNull(), no_pass1=F.col("pass1").isNull())
+    return m.groupBy("config").agg(_r(F.avg("auroc"), "auroc"), F.count("*").alias("n"))
 
 
 @query("SELECT 'b' AS name, count(*) AS n FROM nation")
@@ -418,7 +437,9 @@ def a30_ngram_sources(spark, d):
 def a31_throughput(spark, d):
     """Total over the time from the first to the last request, and the nearest-rank tenth percentile."""
     s = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("requests"), _r(F.sum("value") / (F.max(s) - F.min(s)), "rate"), F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY value)").alias("p10"))
+    e = table(spark, d, "events")
+    g = e.groupBy("event_type").agg(F.count("*").alias("requests"), _r(F.sum("value") / (F.max(s) - F.min(s)), "rate"))
+    return N.with_quantiles(g, e, ["event_type"], {"p10": ("value", 0.1)}, nearest=True)
 
 
 @query(f"WITH {GEN_SQL}, m AS (SELECT config, task, CAST(id % 3 AS BIGINT) AS temperature, avg(z) AS m FROM gen GROUP BY 1, 2, 3), b AS (SELECT config, temperature, m AS base FROM m WHERE task = 'src0') SELECT m.config, m.task, m.temperature, round(m - base, 6) AS lift FROM m LEFT JOIN b ON m.config = b.config AND m.temperature = b.temperature WHERE m.config IS NOT NULL")
