@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import normal_cdf
-from .scans import before
+from .scans import before, order_bin
 
 
 def score_counts(df: DataFrame, groups: list[str], score: str, positive: str) -> DataFrame:
@@ -15,10 +15,13 @@ def score_counts(df: DataFrame, groups: list[str], score: str, positive: str) ->
 
 
 def auroc(df: DataFrame, groups: list[str], score: str, positive: str) -> DataFrame:
-    """groups, n_pos, n_neg, auroc (ties count half). Ranks come from counts of different scores, in running totals that no task holds whole."""
-    c = before(score_counts(df.where(F.col(score).isNotNull()), groups, score, positive), groups, score, ["neg"])
-    u = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0))
-    g = c.groupBy(*groups).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), u.alias("u"))
+    """groups, n_pos, n_neg, auroc (ties count half). Ranks come from counts of different scores, inside bins first and then over bins, so that no task holds a group."""
+    c = score_counts(df.where(F.col(score).isNotNull()), groups, score, positive).withColumn("_bin", order_bin(F.col(score)))
+    below = lambda *by, order: F.coalesce(F.sum("neg").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c = c.withColumn("below", below(*groups, "_bin", order=score))
+    bins = c.groupBy(*groups, "_bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"))
+    bins = bins.withColumn("below", below(*groups, order="_bin"))
+    g = bins.groupBy(*groups).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum(F.col("u") + F.col("pos") * F.col("below")).alias("u"))
     return g.select(*groups, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos").cast("double") * F.col("n_neg"))).alias("auroc"))
 
 

@@ -41,8 +41,8 @@ def before(df: DataFrame, groups: list[str], order: str, sums: list[str], descen
     """df with `<s>_before` for each s of sums: its total over the rows of the group that come earlier by the number `order`.
 
     Rows that tie in `order` come in any order; aggregate them first where that matters. A null comes first (last
-    if descending). Both steps shuffle by (group, bin)."""
-    rows = df.withColumn("_bin", order_bin(F.col(order), fine))
+    if descending). df is written once, as it is read for its totals and for its rows."""
+    rows = kept(df.withColumn("_bin", order_bin(F.col(order), fine)), "ordered")
     totals = rows.groupBy(*groups, "_bin").agg(*[F.sum(s).alias(f"_sum_{s}") for s in sums])
     turn = (lambda c: F.desc_nulls_last(c)) if descending else (lambda c: F.asc_nulls_first(c))
     ahead = Window.partitionBy(*groups).orderBy(turn("_bin")).rowsBetween(Window.unboundedPreceding, -1)

@@ -335,7 +335,7 @@ def w5_hashed_sample(spark, d):
 
 @query("SELECT lang, slice, count(*) AS n, min(doc_id) AS first FROM (SELECT lang, doc_id, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 50 AS slice FROM documents) GROUP BY 1, 2")
 def w11_slices(spark, d):
-    return R.slices(_docs(spark, d), ["lang"], "doc_id", 50).groupBy("lang", "slice").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    return R.slices(_docs(spark, d).select("lang", "doc_id"), ["lang"], "doc_id", 50).groupBy("lang", "slice").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
 @query("""WITH RECURSIVE o AS (SELECT source, w, row_number() OVER (ORDER BY w DESC, source) AS k FROM (SELECT source, sum(n_chars) AS w FROM documents GROUP BY 1)),
