@@ -140,6 +140,88 @@ def first_valid(df: DataFrame, keys: list[str], index: str, valid: Column, value
     return g.select(*keys, F.col("_b._v").alias(value), F.col("_b._i").alias("chosen"), "n_skipped", F.col("_b").isNull().alias("invalid"))
 
 
+#: Row numbers that one bitmap holds (Spark's bitmap buckets).
+BUCKET = 32768
+
+
+def skipped(df: DataFrame, keys: list[str], index: str, reason: Column) -> tuple[DataFrame, DataFrame]:
+    """The first valid candidate of each key (reason is null), and what was passed over before it, by reason.
+
+    Returns (keys, chosen: its index, null if none is valid; bitmaps: keys, reason, bucket, n, bitmap of the indexes from 0
+    that were skipped). A key's indexes are bitmaps of 4 KB for each 32,768 of them, combined before the shuffle, however
+    many candidates it has. Keys may be null; an index that stands twice counts once."""
+    x = df.select(*keys, F.col(index).cast("long").alias("_i"), reason.alias("_why"))
+    first = x.groupBy(*keys).agg(F.min(F.when(F.col("_why").isNull(), F.col("_i"))).alias("chosen"))
+    names = first.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], "chosen")
+    on = F.lit(True)
+    for n, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{n}"))
+    over = x.where("_why IS NOT NULL").join(names, on).where("chosen IS NULL OR _i < chosen")
+    over = over.groupBy(*keys, F.col("_why").alias("reason"), F.bitmap_bucket_number(F.col("_i") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("_i") + 1)).alias("bitmap"))
+    return first, over.select(*keys, "reason", "bucket", F.bitmap_count("bitmap").alias("n"), "bitmap")
+
+
+def indexes(bitmaps: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, reason, index: the bitmaps' row numbers again."""
+    byte = F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.lit(BUCKET // 8 - 1)), lambda k: F.struct(k.alias("at"), F.conv(F.hex(F.substring("bitmap", k + 1, F.lit(1))), 16, 10).cast("int").alias("bits"))), lambda b: b["bits"] > 0))
+    x = bitmaps.select(*keys, "reason", "bucket", byte.alias("_b"))
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda j: F.getbit(F.col("_b.bits"), j) == 1)).alias("_j")
+    return x.select(*keys, "reason", "bucket", "_b", bit).select(*keys, "reason", ((F.col("bucket") - 1) * BUCKET + F.col("_b.at") * 8 + F.col("_j")).alias("index"))
+
+
+#: The rolling hash's base and modulus (a prime under 2^31, so that products fit a long).
+BASE, PRIME = 1_000_003, 2_147_483_629
+
+
+def window_at(a: Column, b: Column, last: int = 0) -> Column:
+    """Offset (from 0) of the first window of a that equals the array b, -1 if there is none; the last `last` offsets are not looked at.
+
+    One pass: a hash of the window rolls over a, and only a window whose hash is b's is compared."""
+
+    def find(x: Column) -> Column:
+        n, own = F.size(x["b"]), F.size(x["a"])
+        value = lambda arr: F.transform(arr, lambda t: F.pmod(F.xxhash64(t), F.lit(PRIME)))
+        roll = lambda h, v: F.pmod(h * BASE + v, F.lit(PRIME))
+        want = F.aggregate(value(x["b"]), F.lit(0).cast("long"), roll)
+        power = F.aggregate(F.transform(x["b"], lambda _: F.lit(BASE).cast("long")), F.lit(1).cast("long"), lambda p, c: F.pmod(p * c, F.lit(PRIME)))
+
+        def search(y: Column) -> Column:
+            def step(s: Column, e: Column) -> Column:
+                gone = F.coalesce(F.get(y["v"], e - n), F.lit(0).cast("long")) * y["power"]
+                h = F.pmod(roll(s["h"], F.get(y["v"], e)) - gone, F.lit(PRIME))
+                here = let(h, lambda now: F.struct(now.alias("h"), F.when((e >= n - 1) & (now == y["want"]), F.when(F.slice(x["a"], e - n + 2, n) == x["b"], e - n + 1).otherwise(-1)).otherwise(-1).alias("at")))
+                return F.when(s["at"] >= 0, s).otherwise(here)
+
+            ends = F.when(own - last > 0, F.sequence(F.lit(0), own - last - 1)).otherwise(F.array().cast("array<int>"))
+            return F.aggregate(ends, F.struct(F.lit(0).cast("long").alias("h"), F.lit(-1).alias("at")), step, lambda s: s["at"])
+
+        return F.when((n > 0) & (own >= n), let(F.struct(value(x["a"]).alias("v"), want.alias("want"), power.alias("power")), search)).otherwise(-1)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), find)
+
+
+def align_prefix(prefix: Column, code: Column, width: int = 10) -> Column:
+    """struct(offset, prefix_len, ok): where in the prefix the code begins, and whether code and prefix agree from there.
+
+    They agree if all of the prefix but its last token begins the code. If the whole prefix does not, it is cut in front
+    of the first place that holds the code's first `width` tokens (the place that ends with the prefix is not looked
+    at) and must agree then. Without such a place the offset is -1 and the prefix its last token alone, which agrees
+    with every code."""
+
+    def agree(p: Column, c: Column) -> Column:
+        n = F.greatest(F.size(p) - 1, F.lit(0))
+        return (F.size(c) >= n) & (F.slice(c, F.lit(1), n) == F.slice(p, F.lit(1), n))
+
+    def cut(x: Column) -> Column:
+        p, c = x["p"], x["c"]
+        out = lambda at, own: let(own, lambda q: F.struct(at.alias("offset"), F.size(q).alias("prefix_len"), agree(q, c).alias("ok")))
+        behind = lambda at: F.slice(p, F.when(at >= 0, at + 1).otherwise(F.greatest(F.size(p), F.lit(1))), F.greatest(F.size(p), F.lit(1)))
+        moved = let(F.when(F.size(c) >= width, window_at(p, F.slice(c, 1, width), 1)).otherwise(-1), lambda at: out(at, behind(at)))
+        return F.when(agree(p, c), F.struct(F.lit(0).alias("offset"), F.size(p).alias("prefix_len"), F.lit(True).alias("ok"))).otherwise(moved)
+
+    return let(F.struct(prefix.alias("p"), code.alias("c")), cut)
+
+
 def align(a: Column, b: Column, width: int = 10) -> Column:
     """First offset (from 1) of the first `width` tokens of b in a; null if there is none."""
     def first(x: Column) -> Column:

@@ -1,4 +1,5 @@
-"""Registered queries of the keyed detectors: green lists by context, n-grams under a gate, soft edit distances by blocks."""
+"""Registered queries of the keyed detectors (green lists by context, n-grams under a gate, soft edit distances by blocks),
+of candidates and alignment, and of tables that outlive a run."""
 
 from __future__ import annotations
 
@@ -6,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import detection as D
 from ..operators import keyed as K
+from ..operators import results as C
 from ..sources import files as IO
-from .lake import POS_SQL, green_sql, table, tail_sql
+from .lake import GEN_SQL, POS_SQL, TOK_SQL, gen, green_sql, table, tail_sql
 from .registry import _r, _toks, query
 
 VOCABULARY, KEY = 256, 15485863
@@ -78,3 +80,60 @@ def d20_null_p_value(spark, d):
     """p of the statistic of run 0 against those of the other runs, each the least of its parts (the last steps of D20)."""
     e = table(spark, d, "events").groupBy("user_id", (F.col("event_id") % 20).alias("run")).agg(F.min("value").alias("stat"))
     return K.null_p_value(e, ["user_id"])
+
+
+# --- candidates and alignment ----------------------------------------------------------------
+
+
+@query(f"""WITH {GEN_SQL}, g AS (SELECT *, CASE WHEN passed THEN NULL WHEN toxic THEN 'transform_failure' ELSE 'empty_suffix' END AS why FROM gen WHERE passed IS NOT NULL),
+f AS (SELECT task, min(id) FILTER (why IS NULL) AS chosen FROM g GROUP BY 1)
+SELECT f.task, chosen, why AS reason, id AS index FROM f JOIN g ON f.task IS NOT DISTINCT FROM g.task WHERE why IS NOT NULL AND (chosen IS NULL OR id < chosen)""")
+def d24_skipped_by_reason(spark, d):
+    """The indexes that were passed over before each task's first valid completion, by reason, kept as bitmaps."""
+    why = F.when(F.col("passed"), F.lit(None)).when(F.coalesce("toxic", F.lit(False)), "transform_failure").otherwise("empty_suffix")
+    first, bitmaps = D.skipped(gen(spark, d).where("passed IS NOT NULL"), ["task"], "id", why)
+    x = D.indexes(bitmaps, ["task"]).withColumnRenamed("task", "t")
+    return x.join(first, F.col("t").eqNullSafe(F.col("task"))).select("task", "chosen", "reason", "index")
+
+
+_PREFIX_SQL = "CASE doc_id % 4 WHEN 0 THEN t[1:20] WHEN 1 THEN list_concat(['x', 'y', 'z'], t[1:20]) WHEN 2 THEN list_concat(['x'], t[1:12], ['zz'], t[13:17]) ELSE ['q', 'r'] END"
+
+
+@query(f"""WITH {TOK_SQL}, a AS (SELECT doc_id, t, {_PREFIX_SQL} AS p FROM tok WHERE len(t) >= 30), b AS (SELECT *, len(p) AS n, t[1:len(p) - 1] = p[1:len(p) - 1] AS whole FROM a),
+f AS (SELECT *, coalesce(list_filter(range(0, n - 10), lambda i: p[i + 1:i + 10] = t[1:10])[1], -1) AS place FROM b), c AS (SELECT *, CASE WHEN whole THEN p WHEN place >= 0 THEN p[place + 1:] ELSE p[n:] END AS q FROM f)
+SELECT doc_id, CAST(CASE WHEN whole THEN 0 ELSE place END AS INTEGER) AS "offset", CAST(len(q) AS INTEGER) AS prefix_len, len(t) >= len(q) - 1 AND t[1:len(q) - 1] = q[1:len(q) - 1] AS ok FROM c""")
+def d22_prefix_equality(spark, d):
+    """Where code begins in a prefix (by ten tokens, with a rolling hash), and whether both agree from there."""
+    t, k = F.col("t"), F.col("doc_id") % 4
+    words = lambda *w: F.array(*map(F.lit, w))
+    p = F.when(k == 0, F.slice(t, 1, 20)).when(k == 1, F.concat(words("x", "y", "z"), F.slice(t, 1, 20))).when(k == 2, F.concat(words("x"), F.slice(t, 1, 12), words("zz"), F.slice(t, 13, 5))).otherwise(words("q", "r"))
+    return _toks(spark, d).where("size(t) >= 30").select("doc_id", D.align_prefix(p, t).alias("a")).select("doc_id", "a.*")
+
+
+# --- results that outlive a run --------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT md5(text) AS h, min(doc_id % 2) AS odd FROM documents GROUP BY 1)
+SELECT doc_id, CASE WHEN length(text) % 7 > 0 THEN 1 + odd END AS run, CASE WHEN length(text) % 7 > 0 THEN length(text) END AS n FROM documents JOIN r ON md5(text) = h""")
+def x4_result_cache(spark, d):
+    """Each distinct program is worked on once over two runs (the first sees half of them); failed work has no result (X4, without running anything)."""
+    path, x = IO.scratch(spark, "results"), table(spark, d, "documents").select("doc_id", "text")
+    work = lambda p: p.select("digest", F.length("program").alias("n"), (F.length("program") % 7 > 0).alias("ok"))
+    C.cached_results(x.where("doc_id % 2 = 0"), "text", path, "n: long", work)
+    return C.cached_results(x, "text", path, "n: long", work)[0].select("doc_id", "run", F.col("result.n").alias("n"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id, max_by(value, event_id) > 100 AS flag FROM events WHERE user_id IS NOT NULL GROUP BY 1")
+def k3_merged_stream(spark, d):
+    """Drops of events merged by key into one table: each batch counts once, replayed or not (streaming)."""
+    from ..streaming import incremental as I
+
+    src, sink, state = (IO.scratch(spark, n) for n in ("drops", "merged", "state"))
+    e = table(spark, d, "events").select("event_id", "user_id", "value")
+    schema = "event_id long, user_id long, flag boolean"
+    score = lambda x: x.select("event_id", "user_id", (F.col("value") > 100).alias("flag"))
+    for part in (1, 0):  # later events come first
+        IO.append_log(e.where(F.col("event_id") % 2 == part), src)
+        I.merge_new(spark, src, "event_id long, user_id long, value double", score, sink, state, "user_id", "event_id")
+    I.merge_batch(e.limit(0).select("event_id", "user_id", F.lit(True).alias("flag")), 0, sink, "user_id", "event_id")  # a replay
+    return I.merged(spark, sink, schema, "user_id", "event_id").where("user_id IS NOT NULL")
