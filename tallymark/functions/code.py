@@ -5,8 +5,11 @@ Column expressions where Spark's functions can say it; Arrow-batched pandas func
 
 from __future__ import annotations
 
+import ast
 import hashlib
+import io
 import re
+import tokenize
 
 import pandas as pd
 from pyspark.sql import Column
@@ -155,3 +158,33 @@ def sha3_seed(text: pd.Series) -> pd.Series:
 def short_number(x: pd.Series) -> pd.Series:
     """%g."""
     return x.map(lambda v: f"{v:g}", na_action="ignore").astype(object).where(x.notna(), None)
+
+
+def _suite(source: str, entry: str) -> tuple[str | None, str | None]:
+    """What follows the colon of the one top-level function `entry`, or why there is none."""
+    try:
+        found = [x for x in ast.parse(source).body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)) and x.name == entry]
+    except (SyntaxError, ValueError) as e:
+        return None, type(e).__name__
+    if len(found) != 1:
+        return None, f"expected one top-level function {entry!r}, found {len(found)}"
+    f = found[0]
+    # the last place of the signature that the tree knows; colons of annotations, slices and lambdas lie before it
+    known = [n for part in (f.args, f.returns, *getattr(f, "type_params", ())) if part for n in ast.walk(part) if hasattr(n, "end_lineno")]
+    raw = source.encode().split(b"\n")
+    least = max([(n.end_lineno, len(raw[n.end_lineno - 1][: n.end_col_offset].decode())) for n in known], default=(f.lineno, f.col_offset))
+    for t in tokenize.generate_tokens(io.StringIO(source).readline):
+        if t.type == tokenize.OP and t.string == ":" and t.start >= least:
+            lines = source.split("\n")
+            tail = "\n".join([lines[t.end[0] - 1][t.end[1] :], *lines[t.end[0] :]])
+            if tail[:1] in ("\n", "\r"):
+                return re.sub(r"^\r?\n", "", tail), None
+            return ("    " + tail.lstrip() if tail.strip() else ""), None
+    return None, f"no colon behind {entry!r}"
+
+
+@F.pandas_udf(T.StructType([T.StructField("suite", T.StringType()), T.StructField("error", T.StringType())]))
+def suite_suffix(source: pd.Series, entry: pd.Series) -> pd.DataFrame:
+    """The detector's suffix of a whole Python program: what follows the colon of its entry function, which is found by syntax. Null for a null source."""
+    rows = [(None, None) if s is None else (None, "no entry point") if not e else _suite(s, e) for s, e in zip(source, entry)]
+    return pd.DataFrame(rows, columns=["suite", "error"])

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,9 +73,9 @@ def mbpp_shots(items: DataFrame, train: DataFrame, shots: int = 3) -> DataFrame:
     train is a benchmark's few hundred rows; one array of row numbers is made for each item."""
     n = train.count()
 
-    @F.udf("array<int>")
-    def places(seed: int) -> list[int]:
-        return permutation(n, seed)[:shots].tolist()
+    @F.pandas_udf("array<int>")
+    def places(seed: pd.Series) -> pd.Series:
+        return seed.map(lambda s: permutation(n, int(s), shots).tolist())
 
     x = items.select("*", F.posexplode_outer(places("task_id")).alias("_k", "_pos"))
     t = train.select(F.col("pos").alias("_p"), F.struct("text", "test_list", "code").alias("_x"))

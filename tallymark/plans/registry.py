@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import extra, keyed_tables, reports, stores  # noqa: F401  (register their own)
+    from . import extra, keyed_tables, reports, runs, stores  # noqa: F401  (register their own)
 
     return dict(QUERIES)
 
