@@ -26,6 +26,12 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), F.lit(1))
 
 
+def segments(prefix: Column, suffix: Column) -> Column:
+    """struct(tokens, prefix_len) of a prompt's tokens and a continuation's. A continuation of one token or none is dropped."""
+    whole = F.when(F.size(suffix) <= 1, prefix).otherwise(F.concat(prefix, suffix))
+    return F.struct(whole.alias("tokens"), F.size(prefix).alias("prefix_len"))
+
+
 def context(toks: Column, i: Column, n: int) -> Column:
     """The n - 1 tokens before position i (from 0), the nearest first, joined by commas."""
     return F.concat_ws(",", *[F.get(toks, i - k) for k in range(1, n)])

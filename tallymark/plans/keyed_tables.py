@@ -33,6 +33,18 @@ def d4_seeded_permutation(spark, d):
     return K.keyed_scores(x, ["doc_id"], "ids", VOCABULARY, 0.5, 2, KEY)
 
 
+@query(f"""WITH {TOK_SQL}, x AS (SELECT doc_id, t[1:doc_id % 9] AS p, CASE WHEN doc_id % 5 = 0 THEN t[len(t):] ELSE t[doc_id % 9 + 1:] END AS s FROM tok), w AS (SELECT doc_id, len(p) AS k, CASE WHEN len(s) <= 1 THEN p ELSE list_concat(p, s) END AS t FROM x),
+g AS (SELECT doc_id, unnest(range(greatest(k, 2) + 1, len(t) + 1)) AS i, t FROM w), c AS (SELECT doc_id, count(*) AS n, count(*) FILTER ({green_sql("t[i-1] || ',' || t[i-2]", 't[i]')}) AS g FROM g GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0) AS n_scored, coalesce(g, 0) AS n_green, coalesce(n, 0) < 1 AS invalid FROM w LEFT JOIN c ON w.doc_id = c.doc_id""")
+def d1_segments(spark, d):
+    """Prefix and suffix as one sequence, scored from the suffix on; a suffix of one token or none is dropped, which leaves nothing to score."""
+    k = (F.col("doc_id") % 9).cast("int")
+    suffix = F.when(F.col("doc_id") % 5 == 0, F.slice("t", F.greatest(F.size("t"), F.lit(1)), F.lit(1))).otherwise(F.slice("t", k + 1, F.greatest(F.size("t"), F.lit(1))))
+    x = _toks(spark, d).select("doc_id", D.segments(F.slice("t", F.lit(1), k), suffix).alias("s"))
+    x = D.scored(x, D.green_mask(F.col("s.tokens"), 3, start=F.greatest(F.col("s.prefix_len"), F.lit(2))))
+    return x.select("doc_id", F.col("n_scored").cast("long").alias("n_scored"), F.col("n_green").cast("long").alias("n_green"), "invalid")
+
+
 GATE_SQL = "CAST('0x' || substr(md5({c}), 1, 1) AS INTEGER) / 16.0 > 0.4"
 
 
