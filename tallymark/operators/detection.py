@@ -76,6 +76,24 @@ def high_entropy(toks: Column, entropy: Column, n: int, tau: float, shift: bool,
     return let(F.struct(toks.alias("t"), e.alias("e")), mask)
 
 
+def pair_rank(logits: Column, token: Column) -> Column:
+    """The place of a token (from 0) in the order of falling logits, ties by number; null for a token outside."""
+    own = F.get(logits, token)
+    before = F.size(F.filter(logits, lambda x, i: (x > own) | ((x == own) & (i < token))))
+    return F.when(own.isNotNull(), before)
+
+
+def pair_bit_green(logits: Column, token: Column, seed: Column) -> Column:
+    """One of each two neighbours in the order of falling logits is green, by a bit of md5(seed|pair); an odd last one by the bit itself."""
+
+    def judge(r: Column) -> Column:
+        pair = F.floor(r / 2)
+        bit = F.substring(F.md5(F.concat_ws("|", seed.cast("string"), pair.cast("string"))), 1, 1) >= "8"
+        return F.when(pair * 2 + 1 < F.size(logits), (r % 2 == 1) == bit).otherwise(bit)
+
+    return let(pair_rank(logits, token), lambda r: F.when(r.isNotNull(), judge(r)))
+
+
 def confidence(z: Column, prediction: Column) -> Column:
     """1 - p of positive predictions; null for the others."""
     return F.when(prediction, 1 - upper_tail(z))

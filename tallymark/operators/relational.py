@@ -88,9 +88,14 @@ def last_ok(df: DataFrame, key: str, order: str, ok: Column) -> DataFrame:
 
 def added_lines(patches: DataFrame, key: str, patch: str) -> DataFrame:
     """key, pos, line: lines that a unified diff adds, inside hunks only."""
+    return patches.select(key, F.posexplode(added(F.col(patch))).alias("pos", "line"))
+
+
+def added(patch: Column) -> Column:
+    """The added lines as an array, in order."""
     parts = F.filter(F.split(patch, r"(?m)^(?=@@|diff )"), lambda p: F.startswith(p, F.lit("@@")))
     plus = F.flatten(F.transform(parts, lambda p: F.filter(F.split(p, "\n"), lambda x: F.startswith(x, F.lit("+")))))
-    return patches.select(key, F.posexplode(F.transform(plus, lambda x: F.substring(x, 2, 1 << 30))).alias("pos", "line"))
+    return F.transform(plus, lambda x: F.substring(x, 2, 1 << 30))
 
 
 def changed_lines(patches: DataFrame, key: str, patch: str) -> DataFrame:

@@ -302,8 +302,8 @@ def d23_trim(spark, d):
 @query(f"WITH {POS_SQL}, s AS (SELECT doc_id, count(*) AS n_scored, count(*) FILTER ({green_sql('t[i-1]', 't[i]')}) AS n_green FROM pos WHERE i >= 2 GROUP BY 1) SELECT k.doc_id, coalesce(n_scored, 0) AS n_scored, coalesce(n_green, 0) AS n_green FROM tok k LEFT JOIN s ON k.doc_id = s.doc_id")
 def d25_patch_detection(spark, d):
     """The window score of what a patch adds, without a prefix."""
-    lines = R.added_lines(_patches(spark, d), "doc_id", "patch").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    x = D.scored(lines.select("doc_id", D.tokens(F.col("text")).alias("t")), D.green_mask(F.col("t"), 2))
+    lines = _patches(spark, d).select("doc_id", D.tokens(F.array_join(R.added(F.col("patch")), "\n")).alias("t"))
+    x = D.scored(lines, D.green_mask(F.col("t"), 2))
     return x.select("doc_id", F.col("n_scored").cast("long").alias("n_scored"), F.col("n_green").cast("long").alias("n_green"))
 
 

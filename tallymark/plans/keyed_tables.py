@@ -45,6 +45,19 @@ def d1_segments(spark, d):
     return x.select("doc_id", F.col("n_scored").cast("long").alias("n_scored"), F.col("n_green").cast("long").alias("n_green"), "invalid")
 
 
+_BIT = "substr(md5(vec_id || '|' || r // 2), 1, 1) >= '8'"
+
+
+@query(f"""WITH e AS (SELECT vec_id, label, embedding AS x, label % len(embedding) AS t FROM embeddings WHERE vec_id IS NOT NULL), u AS (SELECT vec_id, t, unnest(range(0, len(x))) AS i, unnest(x) AS v, x[t + 1] AS own, len(x) AS n FROM e),
+k AS (SELECT vec_id, t, n, count(*) FILTER (v > own OR (v = own AND i < t)) AS r FROM u GROUP BY ALL)
+SELECT vec_id, CAST(r AS INTEGER) AS rank, CASE WHEN r // 2 * 2 + 1 < n THEN (r % 2 = 1) = ({_BIT}) ELSE {_BIT} END AS green FROM k""")
+def d14_pair_bits(spark, d):
+    """Whether the labelled token is the green one of its pair by logit, in the row (D14 with bits that SQL can draw too)."""
+    e = table(spark, d, "embeddings").where("vec_id IS NOT NULL")
+    t = (F.col("label") % F.size("embedding")).cast("int")
+    return e.select("vec_id", D.pair_rank(F.col("embedding"), t).alias("rank"), D.pair_bit_green(F.col("embedding"), t, F.col("vec_id")).alias("green"))
+
+
 GATE_SQL = "CAST('0x' || substr(md5({c}), 1, 1) AS INTEGER) / 16.0 > 0.4"
 
 
