@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents left without text; whole copies of which a line is left are the next stage's."""
+    """Repeated lines go, and documents left without text (null and empty ones too); whole copies of which a line is left are the next stage's."""
     x = linededup.dedup(docs.select(*COLUMNS))
     return x.where("text RLIKE '\\\\S'").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -47,6 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's ids in sequences of 4096, a row for each piece; a null or empty text is its end id alone, repeated rows and ids are documents of their own, no documents no rows."""
     return packing.pack(docs, vocabulary())
 
 
