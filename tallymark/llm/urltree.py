@@ -28,6 +28,7 @@ or an equi-join; only the branches of one node, sqrt(N) at most, meet in one tas
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -106,17 +107,19 @@ def _merge(z: float):
     return run
 
 
-def templates(counts: DataFrame, z: float, weight: float, prior: float) -> list[DataFrame]:
-    """Written tables of host, shapes, template, purity, held (labels of the nearest node with any).
+def templates(counts: DataFrame, z: float, weight: float, prior: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(host, shapes, template, purity, held: labels of the nearest node with any; the written tables it reads).
 
-    counts: host, shapes, n, labelled, blocked.
+    counts: host, shapes, n, labelled, blocked. A level of the tree is four written tables; the templates that it
+    ends are read from them.
     """
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
     smooth = lambda b, l, p: (b + weight * p) / (l + weight)
     hosts = counts.groupBy(F.col("host").alias("host2")).agg(F.sum("labelled").alias("hl"), F.sum("blocked").alias("hb"))
     rows = counts.join(hosts, F.col("host") == F.col("host2")).withColumn("node", F.xxhash64("host")).withColumn("template", F.lit("")).withColumn("rest", F.col("shapes"))
     rows = rows.withColumn("purity", smooth(F.col("hb"), F.col("hl"), F.lit(prior))).withColumn("held", F.col("hl")).drop("host2", "hl", "hb")
-    rows, done = settle(rows, "url-nodes"), []
+    rows = settle(rows, "url-nodes")
+    done, tables = [], [rows]
     while True:
         # skip: how far all the node's paths go on alike
         nodes = rows.groupBy("node").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"), F.sum("n").alias("pages"))
@@ -125,7 +128,7 @@ def templates(counts: DataFrame, z: float, weight: float, prior: float) -> list[
         nodes = nodes.select(F.col("node").alias("node2"), (F.col("lo") == F.col("hi")).alias("one"), "pages", skip.cast("int").alias("skip"))
         j = settle(rows.join(nodes, F.col("node") == F.col("node2")).drop("node2"), "url-level")
         common = F.expr("concat(template, concat_ws('', transform(slice(rest, 1, skip), x -> concat('/', x))))")
-        done.append(settle(j.where("one").select("host", "shapes", common.alias("template"), "purity", "held"), "url-templates"))
+        done.append(j.where("one").select("host", "shapes", common.alias("template"), "purity", "held"))
         # stays: the path has a segment more, else it ends at the node
         more = j.where("NOT one").withColumn("template", common).withColumn("seg", F.coalesce(F.get("rest", F.col("skip")), F.lit(""))).withColumn("stays", F.expr("size(rest) > skip"))
         ends = F.when(F.expr("size(rest) <= skip + 1"), F.col("n")).otherwise(0)
@@ -145,13 +148,12 @@ def templates(counts: DataFrame, z: float, weight: float, prior: float) -> list[
         down = down.withColumn("template", F.when(F.col("stays"), F.concat("template", F.lit("/"), "name")).otherwise(F.col("template"))).withColumn("node", F.xxhash64("node", "stays", "name"))
         down = down.withColumn("rest", F.expr("slice(rest, skip + 2, size(rest))"))
         after = settle(down.select("host", "shapes", "rest", "n", "labelled", "blocked", "node", "template", "purity", "held", "stays"), "url-nodes")
-        done.append(settle(after.where("NOT stays").select("host", "shapes", "template", "purity", "held"), "url-templates"))
-        forget(j, to, named, rows)
-        rows = settle(after.where("stays").drop("stays"), "url-nodes")
-        forget(after)
+        done.append(after.where("NOT stays").select("host", "shapes", "template", "purity", "held"))
+        forget(to, named)
+        tables += [j, after]
+        rows = after.where("stays").drop("stays")
         if not rows.limit(1).count():
-            forget(rows)
-            return done
+            return reduce(DataFrame.union, done), tables
 
 
 def judge(pages: DataFrame, rules=RULES, z: float = 1.96, weight: float = 2.0, reject: float = 0.5, support: int = 5) -> DataFrame:
@@ -162,12 +164,9 @@ def judge(pages: DataFrame, rules=RULES, z: float = 1.96, weight: float = 2.0, r
     p = p.withColumn("rule", rule).withColumn("ruled", verdict).withColumn("shapes", shape(F.col("path")))
     counts = settle(p.groupBy("host", "shapes").agg(F.count("*").alias("n"), F.count("rule").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked")), "url-shapes")
     whole = counts.agg(F.sum("blocked"), F.sum("labelled")).first()
-    found = templates(counts, z, weight, (whole[0] or 0) / max(whole[1] or 0, 1))
-    known = found[0]
-    for f in found[1:]:
-        known = known.union(f)
+    known, tables = templates(counts, z, weight, (whole[0] or 0) / max(whole[1] or 0, 1))
     known = settle(known.select(F.col("host").alias("h"), F.col("shapes").alias("s"), "template", "purity", "held"), "url-purity")
-    forget(counts, *found)
+    forget(counts, *tables)
     out = p.join(known, (F.col("host") == F.col("h")) & (F.col("shapes") == F.col("s")))
     own = F.when((F.col("held") >= support) & (F.col("purity") >= reject), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "template", "purity")
