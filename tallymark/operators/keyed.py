@@ -153,18 +153,23 @@ def edit_statistic(tokens: np.ndarray, keys: np.ndarray, block: int) -> float:
     return min(soft_edit(tokens[i : i + block], keys[(j + np.arange(block)) % n]) for i in range(len(tokens) - block + 1) for j in range(n))
 
 
-@lru_cache(maxsize=64)
 def random_key(run: int, length: int, vocabulary: int, seed: int) -> np.ndarray:
     """The key of a run (0: the detector's own), ids x length, as the costs ln(1 - xi)."""
     return np.log1p(-np.random.RandomState((seed + run) & 0xFFFFFFFF).random_sample((vocabulary, length)).astype(np.float32))
 
 
+@lru_cache(maxsize=256)
+def small_key(run: int, length: int, vocabulary: int, seed: int) -> np.ndarray:
+    """The same, remembered: for keys of 256 KB at most."""
+    return random_key(run, length, vocabulary, seed)
+
+
 def edit_minima(tokens: np.ndarray, costs: np.ndarray, block: int, gamma: float = 0.0) -> np.ndarray:
     """For each run (costs: ids x runs x length) the least soft edit distance of any block of tokens at any (cyclic) offset.
 
     One table for all runs, offsets and block starts: cell (a, b) of every block is one array."""
     n, many = costs.shape[2], len(tokens) - block + 1
-    own = costs[tokens].transpose(1, 2, 0)  # runs x offsets x tokens
+    own = np.ascontiguousarray(costs[tokens].transpose(1, 2, 0))  # runs x offsets x tokens
     turned = [np.roll(own, -b, axis=1) for b in range(block)]
     row = [np.full((own.shape[0], n, many), gamma * b, np.float32) for b in range(block + 1)]
     for a in range(block):
@@ -184,10 +189,12 @@ def edit_statistics(df: DataFrame, keys: list[str], ids: str, vocabulary: int, l
     long text is many tasks. A row's minimum is an aggregate over them. Rows without ids have no statistics; texts
     shorter than a block are one block. keys must tell rows apart."""
     few = max(1, min(16, (1 << 24) // (length * vocabulary)))
+    key = small_key if length * vocabulary <= 1 << 16 else random_key
     starts = F.when(F.size(ids) > 0, F.sequence(F.lit(0), F.greatest(F.size(ids) - block, F.lit(0)), F.lit(chunk))).otherwise(F.array().cast("array<int>"))
     parts = df.select(*keys, F.col(ids).alias("_ids"), F.explode(starts).alias("_s"))
     parts = parts.select(*keys, F.slice("_ids", F.col("_s") + 1, F.lit(chunk + block - 1)).alias("_t"), "_s", F.explode(F.sequence(F.lit(0), F.lit(runs), F.lit(few))).alias("_r"))
-    parts = parts.repartition(*keys, "_s", "_r").select(*keys, "_t", "_r")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or few bytes of much work would be put together
+    parts = parts.repartition(tasks, *keys, "_s", "_r").select(*keys, "_t", "_r")
     schema = T.StructType([*[parts.schema[k] for k in keys], T.StructField("_r", T.IntegerType()), T.StructField("_m", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +202,7 @@ def edit_statistics(df: DataFrame, keys: list[str], ids: str, vocabulary: int, l
             found, (tokens, first) = [], (b.column(b.schema.get_field_index(c)) for c in ("_t", "_r"))
             for t, r in zip(tokens, first.to_pylist()):
                 t = np.asarray(t.values.to_numpy(zero_copy_only=False), np.int64)
-                costs = np.stack([random_key(x, length, vocabulary, seed) for x in range(r, min(r + few, runs + 1))], 1)
+                costs = np.stack([key(x, length, vocabulary, seed) for x in range(r, min(r + few, runs + 1))], 1)
                 found.append(edit_minima(t, costs, min(block, len(t)), gamma))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], first, pa.array(found, pa.list_(pa.float32()))], [*keys, "_r", "_m"])
 
