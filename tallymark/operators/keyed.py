@@ -158,6 +158,10 @@ def random_key(run: int, length: int, vocabulary: int, seed: int) -> np.ndarray:
     return np.log1p(-np.random.RandomState((seed + run) & 0xFFFFFFFF).random_sample((vocabulary, length)).astype(np.float32))
 
 
+#: Numbers in a table that stays near the processor.
+NEAR = 1 << 14
+
+
 @lru_cache(maxsize=256)
 def small_key(run: int, length: int, vocabulary: int, seed: int) -> np.ndarray:
     """The same, remembered: for keys of 256 KB at most."""
@@ -169,6 +173,9 @@ def edit_minima(tokens: np.ndarray, costs: np.ndarray, block: int, gamma: float
 
     One table for all runs, offsets and block starts: cell (a, b) of every block is one array."""
     n, many = costs.shape[2], len(tokens) - block + 1
+    group = max(1, NEAR // (n * many))
+    if group < costs.shape[1]:
+        return np.concatenate([edit_minima(tokens, costs[:, k : k + group], block, gamma) for k in range(0, costs.shape[1], group)])
     own = np.ascontiguousarray(costs[tokens].transpose(1, 2, 0))  # runs x offsets x tokens
     turned = [np.roll(own, -b, axis=1) for b in range(block)]
     row = [np.full((own.shape[0], n, many), gamma * b, np.float32) for b in range(block + 1)]
