@@ -219,11 +219,9 @@ def edit_statistics(df: DataFrame, keys: list[str], ids: str, vocabulary: int, l
 
 def null_p_value(stats: DataFrame, keys: list[str], run: str = "run", stat: str = "stat") -> DataFrame:
     """keys, stat (of run 0), p: (other runs with a statistic no greater + 1) / (other runs + 1). No run 0: p 1."""
-    own = stats.where(F.col(run) == 0).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(stat).alias("_own"))
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    x = stats.join(own, on, "left")
-    least = F.count_if((F.col(run) != 0) & (F.col(stat) <= F.col("_own")))
-    g = x.groupBy(*keys).agg(F.max("_own").alias("stat"), least.alias("_k"), F.count_if(F.col(run) != 0).alias("_n"))
+    other = F.col(run) != 0
+    g = stats.groupBy(*keys).agg(F.max(F.when(~other, F.col(stat))).alias("stat"), F.collect_list(F.when(other, F.col(stat))).alias("_x"), F.count_if(other).alias("_n"))  # a number for each run
+    g = g.withColumn("_k", F.size(F.filter("_x", lambda x: x <= F.col("stat"))))
     return g.select(*keys, "stat", F.when(F.col("stat").isNull(), 1.0).otherwise((F.col("_k") + 1) / (F.col("_n") + 1)).alias("p"))
 
 
