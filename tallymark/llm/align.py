@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, settle, slices, strings
+from .common import forget, numbered, settle, slices, strings
 from .tokens import BYTE_CHARS, SLICE
 
 HOT = 100_000
@@ -304,18 +304,20 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
-    """pair, count (links that hold it), best (no other pair with its id of B has more): a row for each pair of the corpus."""
+    """pair, count (links that hold it), best (no other pair with its id of B has more): a row for each pair of the corpus, written."""
     each = rows.select(F.explode(F.arrays_zip("pairs", "many")).alias("x")).select(F.col("x.pairs").alias("pair"), F.col("x.many").alias("many"))
     counts = each.groupBy("pair").agg(F.sum("many").alias("count"))
     counts = settle(counts, "pair-counts")
     most = counts.groupBy((F.col("pair") % SIDE).alias("b")).agg(F.max("count").alias("most"))  # a row for each id of B
-    return counts.join(F.broadcast(most), F.col("pair") % SIDE == F.col("b")).select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
+    scored = settle(counts.join(F.broadcast(most), F.col("pair") % SIDE == F.col("b")).select("pair", "count", (F.col("count") == F.col("most")).alias("best")), "pairs")
+    forget(counts)
+    return scored
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, hot: int = HOT) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256: a row for each row of docs."""
     rows = settle(aligned(docs, a_path, b_path).withColumn("nr", F.monotonically_increasing_id()), "aligned")
-    scored = settle(pair_counts(rows), "pairs")
+    scored = pair_counts(rows)
     total = scored.agg(F.sum("count")).first()[0] or 0
     common = F.col("count") * hot >= total
     each = rows.select("nr", F.explode(F.arrays_zip("pairs", "many")).alias("x")).select("nr", F.col("x.pairs").alias("own"), F.col("x.many").alias("many"))

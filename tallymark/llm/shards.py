@@ -28,7 +28,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import forget, settle
 
 SHARDS, FINE, BUNDLES, EACH = 40, 64, 4096, 16
 
@@ -77,6 +77,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, fine: int = FINE, bundles: int
     big = F.col("bytes") * (shards * fine) >= total
     items = sums.groupBy(F.when(big, F.col("text_hash")).alias("item"), F.when(~big, bundle).alias("bundle")).agg(F.sum("bytes").alias("bytes"))
     sizes = {(r["bundle"] is not None, r["bundle"] if r["item"] is None else r["item"]): r["bytes"] for r in items.collect()}  # shards * fine + bundles at most
+    forget(sums)
     bins = deal(sizes, shards)
     make = rows.sparkSession.createDataFrame
     own = F.broadcast(make([(k, b) for (rest, k), b in bins.items() if not rest], "item long, item_bin int"))
