@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import kept
+from ..sources.files import dropped, kept
 
 #: Bins for each factor of e in the size of a value; sub-bins of a split; values that a bin may hold at the end.
 FINE, SPLIT, FEW = 4096, 4096, 4096
@@ -87,12 +87,15 @@ def order_statistics(df: DataFrame, groups: list[str], value: str, ranks: list[C
         keys = [*g, "_a", "_z"]
         asked = found.where("_lo < _hi").select(*[F.col(f"_k{j}") for j in range(len(g))], F.col("_lo").alias(f"_k{len(g)}"), F.col("_hi").alias(f"_k{len(g) + 1}"), "_i", "_r")
         narrowed = _found(cells, keys, "_at", asked, ["_lo", "_hi", "_n"]).select(*[f"_k{j}" for j in range(len(g))], "_i", "_r", "_lo", "_hi", "_n")
-        found = kept(found.where("_lo = _hi").select(narrowed.columns).union(narrowed), "selection-found")
+        wider, found = found, kept(found.where("_lo = _hi").select(narrowed.columns).union(narrowed), "selection-found")
+        dropped(wider)
         if last:
             break
     picked = found.groupBy(*[f"_k{j}" for j in range(len(g))]).agg(*[F.max(F.when(F.col("_i") == i, F.col("_lo"))).alias(f"r{i}") for i in range(len(ranks))])
     out = total.join(picked, _same([F.col(a) for a in g], [F.col(f"_k{j}") for j in range(len(g))]))
-    return out.select(*[F.col(a).alias(c) for a, c in zip(g, groups)], "n", *[f"r{i}" for i in range(len(ranks))])
+    out = kept(out.select(*[F.col(a).alias(c) for a, c in zip(g, groups)], "n", *[f"r{i}" for i in range(len(ranks))]), "selected")
+    dropped(rows, bins, found)
+    return out
 
 
 def nearest_rank(q: float) -> Callable[[Column], Column]:

@@ -27,7 +27,16 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: later passes and lost executors repeat nothing of it."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of kept() that nothing unwritten reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
