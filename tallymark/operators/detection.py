@@ -59,8 +59,13 @@ def scored(df: DataFrame, mask: Column, gamma: float = 0.5, threshold: float | N
     A threshold of None or 0 means the default of 4."""
     m = df.withColumn(by, mask)
     t, g = F.size(by), F.size(F.filter(by, lambda x: x))
+    return with_scores(m, t, g, gamma, threshold)
+
+
+def with_scores(df: DataFrame, t: Column, g: Column, gamma: float = 0.5, threshold: float | None = 4.0) -> DataFrame:
+    """df with the columns of `scored` from how many tokens were scored and how many of them are green."""
     z = F.coalesce(z_score(g, t, gamma), F.lit(0.0))
-    m = m.select("*", t.alias("n_scored"), g.alias("n_green"), z.alias("z"), (t < 1).alias("invalid"))
+    m = df.select("*", t.alias("n_scored"), g.alias("n_green"), z.alias("z"), (t < 1).alias("invalid"))
     return m.withColumn("p", upper_tail(F.col("z"))).withColumn("prediction", F.col("z") > (threshold or 4.0))
 
 

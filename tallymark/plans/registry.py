@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import detection as D
+from ..operators import keyed as K
 from ..operators import metrics as M
 from ..operators import relational as R
 from ..operators import scans as N
@@ -131,7 +132,8 @@ def d17_running_z(spark, d):
 SELECT t.doc_id, coalesce(n_scored, 0) AS n_scored, coalesce(n_green, 0) AS n_green, coalesce(round((n_green - 0.5 * n_scored) / sqrt(n_scored * 0.25), 6), 0) AS z FROM tok t LEFT JOIN s ON t.doc_id = s.doc_id""")
 def d19_g_values(spark, d):
     """Bits of each window under thirty keys against a fair coin; texts shorter than a window have z 0."""
-    x = D.scored(_toks(spark, d), D.g_values(F.col("t"), 3, 30))
+    x = _toks(spark, d).select("doc_id", K.g_value_counts(F.col("t"), 3, 30).alias("c"))
+    x = D.with_scores(x, F.col("c.n_scored").cast("int"), F.col("c.n_green").cast("int"))
     return x.select("doc_id", "n_scored", "n_green", _r(F.col("z"), "z"))
 
 
