@@ -57,7 +57,8 @@ def scored(df: DataFrame, mask: Column, gamma: float = 0.5, threshold: float | N
     """df with n_scored, n_green, z, p, prediction and invalid: no scored token means z 0, p .5, no prediction.
 
     A threshold of None or 0 means the default of 4."""
-    m = df.withColumn(by, mask)
+    # by explode of one: however often the mask is used and filters are pushed down, it is made once
+    m = df.drop(by).select("*", F.explode(F.array(mask)).alias(by))
     t, g = F.size(by), F.size(F.filter(by, lambda x: x))
     return with_scores(m, t, g, gamma, threshold)
 
