@@ -83,6 +83,20 @@ def ngram_table(df: DataFrame, toks: Column, n: int) -> DataFrame:
     return grams.groupBy(F.array_join(F.slice("g", 1, n - 1), " ").alias("prefix"), F.element_at("g", -1).alias("next")).agg(F.count("*").alias("n"))
 
 
+def ngram_sources(df: DataFrame, doc: str, label: str, toks: Column) -> DataFrame:
+    """prefix, next, n, sources, first_doc, first_lang of the bigrams of token arrays: in how many documents they stand, and the label of the first.
+
+    Texts are dealt by document, so that its bigrams become distinct without a shuffle of their own (a document may have
+    several rows; those without an id are dealt evenly and are no source); what is shuffled after it is combined."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named: texts grow manifold as bigrams
+    given = df.where(F.col(doc).isNotNull()).repartition(tasks, doc)
+    pairs = F.when(F.size("_t") > 1, F.arrays_zip(F.slice("_t", 1, F.size("_t") - 1).alias("a"), F.slice("_t", 2, F.size("_t") - 1).alias("b")))
+    each = lambda x: x.select(F.col(doc).alias("doc"), F.col(label).alias("label"), toks.alias("_t")).select("doc", "label", F.explode(pairs).alias("g")).select("doc", "label", F.col("g.a").alias("prefix"), F.col("g.b").alias("next"))
+    once = each(given).groupBy("prefix", "next", "doc").agg(F.count("*").alias("k"), F.any_value("label").alias("label"))
+    none = each(df.where(F.col(doc).isNull())).select("prefix", "next", "doc", F.lit(1).cast("long").alias("k"), "label")
+    return once.unionByName(none).groupBy("prefix", "next").agg(F.sum("k").alias("n"), F.count("doc").alias("sources"), F.min("doc").alias("first_doc"), F.min_by("label", "doc").alias("first_lang"))
+
+
 # The patterns of the mteval normalisation, in their order.
 MTEVAL_JOIN = (("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 MTEVAL_SPLIT = ((r"([\{-~\[-\x60 -&\(-\+:-@/])", r" $1 "), (r"([^0-9])([\.,])", r"$1 $2 "), (r"([\.,])([^0-9])", r" $1 $2"), (r"([0-9])(-)", r"$1 $2 "))

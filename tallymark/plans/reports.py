@@ -427,10 +427,7 @@ def a26_vote_accuracy(spark, d):
 SELECT prefix, next, count(*) AS n, count(DISTINCT doc_id) AS sources, min(doc_id) AS first_doc, min_by(lang, doc_id) AS first_lang FROM w GROUP BY 1, 2""")
 def a30_ngram_sources(spark, d):
     """Bigrams with how often and in how many documents they stand, and what belongs to the first document that has them."""
-    t = _toks(spark, d)
-    pairs = F.when(F.size("t") > 1, F.arrays_zip(F.slice("t", 1, F.size("t") - 1).alias("a"), F.slice("t", 2, F.size("t") - 1).alias("b")))
-    once = t.select("doc_id", "lang", F.explode(pairs).alias("g")).select("doc_id", "lang", F.col("g.a").alias("prefix"), F.col("g.b").alias("next")).groupBy("prefix", "next", "doc_id").agg(F.count("*").alias("k"), F.any_value("lang").alias("lang"))
-    return once.groupBy("prefix", "next").agg(F.sum("k").alias("n"), F.count("*").alias("sources"), F.min("doc_id").alias("first_doc"), F.min_by("lang", "doc_id").alias("first_lang"))
+    return M.ngram_sources(_docs(spark, d), "doc_id", "lang", D.tokens(F.col("text")))
 
 
 @query("SELECT event_type, count(*) AS requests, round(sum(value) / (epoch(max(ts)) - epoch(min(ts))), 6) AS rate, quantile_disc(value, 0.1) AS p10 FROM events GROUP BY 1")
