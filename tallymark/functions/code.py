@@ -12,6 +12,7 @@ import re
 import tokenize
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,28 +56,47 @@ def debt_end(code: str, start: int = 0, debt: int = 1) -> int | None:
     return None
 
 
-@F.pandas_udf(T.StringType())
-def brace_cut(code: pd.Series) -> pd.Series:
-    """code up to the end of its first balanced block; unchanged without one."""
-    return code.map(lambda c: None if c is None else c[: balanced_end(c)], na_action="ignore")
+def _lengths(of, *columns: pa.Array) -> pa.Array:
+    """of(...) row by row, one text at a time; null for nulls. Texts are cut by Spark, so that Python holds none of its own."""
+    rows = zip(*columns)
+    return pa.array((None if any(not x.is_valid for x in r) else of(*(x.as_py() for x in r)) for r in rows), pa.int32(), size=len(columns[0]))
 
 
-@F.pandas_udf(T.StringType())
-def paid_off(code: pd.Series) -> pd.Series:
-    """A completion up to the brace that closes the one its prompt left open; unchanged if none does."""
-    return code.map(lambda c: c[: debt_end(c)].rstrip(), na_action="ignore")
+@F.arrow_udf(T.IntegerType())
+def _balanced_length(code: pa.Array) -> pa.Array:
+    return _lengths(lambda c: len(c) if (end := balanced_end(c)) is None else end, code)
 
 
-@F.pandas_udf(T.StringType())
-def entry_block(code: pd.Series, entry: pd.Series) -> pd.Series:
-    """A program up to the end of its entry point's block; unchanged without one."""
+@F.arrow_udf(T.IntegerType())
+def _paid_length(code: pa.Array) -> pa.Array:
+    return _lengths(lambda c: len(c[: debt_end(c)].rstrip()), code)
 
-    def cut(c: str, name: str) -> str:
+
+@F.arrow_udf(T.IntegerType())
+def _entry_length(code: pa.Array, entry: pa.Array) -> pa.Array:
+    def length(c: str, name: str) -> int:
         at = c.find(name)
         opens = c.find("{", at + 1) if name and at >= 0 else -1
-        return c[: debt_end(c, opens + 1)].rstrip() if opens >= 0 and debt_end(c, opens + 1) else c
+        end = debt_end(c, opens + 1) if opens >= 0 else None
+        return len(c[:end].rstrip()) if end else len(c)
+
+    return _lengths(length, code, entry)
 
-    return pd.Series([None if c is None or e is None else cut(c, e) for c, e in zip(code, entry)], dtype=object)
+
+def brace_cut(code: Column | str) -> Column:
+    """code up to the end of its first balanced block; unchanged without one."""
+    code = F.col(code) if isinstance(code, str) else code
+    return F.substring(code, F.lit(1), _balanced_length(code))
+
+
+def paid_off(code: Column) -> Column:
+    """A completion up to the brace that closes the one its prompt left open; unchanged if none does."""
+    return F.substring(code, F.lit(1), _paid_length(code))
+
+
+def entry_block(code: Column, entry: Column) -> Column:
+    """A program up to the end of its entry point's block; unchanged without one."""
+    return F.substring(code, F.lit(1), _entry_length(code, entry))
 
 
 def stripped(text: Column) -> Column:
