@@ -77,10 +77,23 @@ def majority(df: DataFrame, keys: list[str], answer: str, order: str) -> DataFra
     return c.groupBy(*keys).agg(F.max_by(answer, F.struct(F.col("votes"), -F.col("seen"))).alias("answer"), F.max("votes").alias("votes"))
 
 
+def _gram_key(prefix: Column, last: Column) -> Column:
+    """An n-gram as one key with a byte between that no text holds (no last token: two of them): fewer bytes a row to shuffle than two."""
+    mark = F.expr("CAST(X'FF' AS STRING)")
+    return F.concat(prefix, mark, F.coalesce(last, mark))
+
+
+def _gram_parts(key: str = "_key") -> list[Column]:
+    """prefix and next of such a key."""
+    part = lambda k: F.call_function("substring_index", F.col(key), F.expr("CAST(X'FF' AS STRING)"), F.lit(k))
+    return [part(1).alias("prefix"), F.when(~F.endswith(key, F.expr("CAST(X'FFFF' AS STRING)")), part(-1)).alias("next")]
+
+
 def ngram_table(df: DataFrame, toks: Column, n: int) -> DataFrame:
     """prefix, next, count of the n-grams of token arrays."""
     grams = df.select(toks.alias("toks")).select(F.explode(F.when(F.size("toks") >= n, F.transform(F.sequence(F.lit(1), F.size("toks") - n + 1), lambda i: F.slice("toks", i, n)))).alias("g"))
-    return grams.groupBy(F.array_join(F.slice("g", 1, n - 1), " ").alias("prefix"), F.element_at("g", -1).alias("next")).agg(F.count("*").alias("n"))
+    key = _gram_key(F.array_join(F.slice("g", 1, n - 1), " "), F.element_at("g", -1))
+    return grams.groupBy(key.alias("_key")).agg(F.count("*").alias("n")).select(*_gram_parts(), "n")
 
 
 def ngram_sources(df: DataFrame, doc: str, label: str, toks: Column) -> DataFrame:
