@@ -104,10 +104,11 @@ def ngram_sources(df: DataFrame, doc: str, label: str, toks: Column) -> DataFram
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named: texts grow manifold as bigrams
     given = df.where(F.col(doc).isNotNull()).repartition(tasks, doc)
     pairs = F.when(F.size("_t") > 1, F.arrays_zip(F.slice("_t", 1, F.size("_t") - 1).alias("a"), F.slice("_t", 2, F.size("_t") - 1).alias("b")))
-    each = lambda x: x.select(F.col(doc).alias("doc"), F.col(label).alias("label"), toks.alias("_t")).select("doc", "label", F.explode(pairs).alias("g")).select("doc", "label", F.col("g.a").alias("prefix"), F.col("g.b").alias("next"))
-    once = each(given).groupBy("prefix", "next", "doc").agg(F.count("*").alias("k"), F.any_value("label").alias("label"))
-    none = each(df.where(F.col(doc).isNull())).select("prefix", "next", "doc", F.lit(1).cast("long").alias("k"), "label")
-    return once.unionByName(none).groupBy("prefix", "next").agg(F.sum("k").alias("n"), F.count("doc").alias("sources"), F.min("doc").alias("first_doc"), F.min_by("label", "doc").alias("first_lang"))
+    each = lambda x: x.select(F.col(doc).alias("doc"), F.col(label).alias("label"), toks.alias("_t")).select("doc", "label", F.explode(pairs).alias("g")).select("doc", "label", _gram_key(F.col("g.a"), F.col("g.b")).alias("_key"))
+    once = each(given).groupBy("_key", "doc").agg(F.count("*").alias("k"), F.any_value("label").alias("label"))
+    none = each(df.where(F.col(doc).isNull())).select("_key", "doc", F.lit(1).cast("long").alias("k"), "label")
+    out = once.unionByName(none).groupBy("_key").agg(F.sum("k").alias("n"), F.count("doc").alias("sources"), F.min("doc").alias("first_doc"), F.min_by("label", "doc").alias("first_lang"))
+    return out.select(*_gram_parts(), "n", "sources", "first_doc", "first_lang")
 
 
 # The patterns of the mteval normalisation, in their order.
