@@ -10,16 +10,19 @@ term numbers; on these follow
 2. a distributed randomised SVD of the TF-IDF passages: tasks add up their part
    of (A' A) Omega for a Gaussian Omega, and the terms-by-rank sum gives the
    right singular vectors by a Nystroem step on the driver;
-3. candidate search: all windows of 1.25 times an item's length that hold ``lcs``
-   of its words are found from counts of its rarest words (``_prefix``: of these so
-   many must stand in a window as ``lcs`` leaves no way around), so no pair is lost
-   and the latent space is asked only where a pair is possible. There the cosine of
-   the item's and the passages' latent vectors is taken; those within ``cosine`` are
-   the candidates of the retrieval, and the others stay in as well unless
-   ``strict``, as words that often leaked weigh little;
-4. every window of a candidate is compared by the longest common subsequence of
-   words, which must reach ``lcs`` of the item. An item's answer (column ``answer``,
-   if there is one and it is not null) must also stand in the window, word for word.
+3. cosine candidate search: every passage of the corpus is projected, and its latent
+   vector is compared with every item's; passages within ``cosine`` of an item are
+   its candidates;
+4. the windows of 1.25 times an item's length around its candidates are compared by
+   the longest common subsequence of words, which must reach ``lcs`` of the item (first
+   by counts of the item's rarest words, ``_prefix``: of these so many must stand in a
+   window as ``lcs`` leaves no way around). An item's answer (column ``answer``,
+   if there is one and it is not null) must also stand in the window, word for word;
+5. a cosine has no sure bound, as words that often leaked weigh little. So an exact way
+   takes the rest: windows far from every candidate whose rare words suffice are
+   compared too. ``strict`` leaves this step out: its rows are those of the retrieval.
+
+The column ``cosine`` has the largest of the passages that meet the window found.
 
 Items go in blocks of ``item_block``, so that what tasks are sent is bounded.
 Null and empty texts hold nothing. Items without words match nothing. Repeated
@@ -74,7 +77,7 @@ def _stacked(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray
     terms = np.frombuffer(b"".join(texts), kind).astype(np.int64)
     size = np.array([len(t) // kind().itemsize for t in texts], np.int64)
     first = np.concatenate(([0], np.cumsum(size)))
-    blocks = -(-size // BLOCK) + 1  # an empty one behind each text, so that passages do not span texts
+    blocks = -(-size // BLOCK) + 2  # two empty ones behind each text: neither passages nor runs of them span texts
     base = np.cumsum(blocks) - blocks
     word = np.arange(len(terms)) - np.repeat(first[:-1], size)
     return terms, first, np.repeat(base, size) + word // BLOCK
@@ -102,29 +105,35 @@ def _frequencies(size: int, kind):
     return run
 
 
-def _passages(terms: np.ndarray, block: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Projections of the passages (from block to block + 1), their blocks, and which words weigh."""
-    live = np.flatnonzero(weight[terms] > 0)
-    if not len(live):
-        return np.zeros((0, basis.shape[1]), np.float32), np.zeros(0, np.int64), live
-    own, lead = np.unique(block[live], return_index=True)
-    sums = np.add.reduceat(basis[terms[live]], lead, axis=0)
-    names = np.unique(np.concatenate((own, own - 1)))
-    names = names[names >= 0]
-    y = np.zeros((len(names), basis.shape[1]), np.float32)
-    y[np.searchsorted(names, own)] += sums
-    left = own[own > 0] - 1
-    y[np.searchsorted(names, left)] += sums[own > 0]
-    return y, names, live
-
-
 def _block_sums(terms: np.ndarray, block: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """The sum of the basis rows of each block's words, from block 0 to one behind the last."""
     many = np.bincount(block, minlength=int(block[-1]) + 2)
     place = np.arange(len(terms)) - np.repeat(np.cumsum(many) - many, many)
     words = np.zeros((len(many), BLOCK), np.int64)  # number 0 has a row of zeros
     words[block, place] = terms
-    return np.take(basis, words, axis=0).sum(1)
+    sums = np.empty((len(words), basis.shape[1]), basis.dtype)
+    for k in range(0, len(words), 8192):  # a very long text in bounded pieces
+        sums[k : k + 8192] = np.take(basis, words[k : k + 8192], axis=0).sum(1)
+    return sums
+
+
+def _projected(terms: np.ndarray, block: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Latent vectors of all passages, of length 1 (0 if nothing weighs): row j is that of blocks j - 1 and j."""
+    y = _block_sums(terms, block, basis)
+    y[1:] += y[:-1].copy()
+    return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-30)
+
+
+def _candidates(y: np.ndarray, latent: np.ndarray, cosine: float, cells: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, from, to): runs of passages whose cosine with the item is not under the limit, by item and passage."""
+    least = np.where(y.any(1), cosine, np.inf).astype(np.float32)
+    wide, step, out = len(y) + 1, max(1, cells // len(y)), []
+    for k in range(0, len(latent), step):
+        near = np.zeros((min(step, len(latent) - k), wide), bool)  # the last column parts the items
+        np.greater_equal(latent[k : k + step] @ y.T, least, out=near[:, :-1])
+        edge = np.flatnonzero(np.diff(near.ravel(), prepend=False))
+        out.append((edge[::2] // wide + k, edge[::2] % wide, edge[1::2] % wide))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _add_by_term(total: np.ndarray, terms: np.ndarray, rows: np.ndarray, of: np.ndarray) -> None:
@@ -245,15 +254,31 @@ class Items:
         key = item * self.terms + terms
         return self.member[np.minimum(np.searchsorted(self.member, key), len(self.member) - 1)] == key
 
-    def spans(self, terms: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, from, to) of words: disjoint spans, by item, that hold every window which could reach an item."""
+    def hits(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, word): where the items' rarest words stand, by item and word."""
         many = np.diff(self.begin)
         at = np.flatnonzero(many[terms])
         n = many[terms[at]]
         item = self.post[np.repeat(self.begin[terms[at]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         at = np.repeat(at, n)
         order = np.argsort(item, kind="stable")
-        item, at = item[order], at[order]
+        return item[order], at[order]
+
+    def around(self, item: np.ndarray, at: np.ndarray, near: tuple[np.ndarray, np.ndarray, np.ndarray], first: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """Which hits stand in a window (of their text) that meets a candidate of their item."""
+        own, a, z = near
+        if not len(own) or not len(item):
+            return np.zeros(len(item), bool)
+        start = np.searchsorted(block, np.arange(int(block[-1]) + 3))  # of each block the first word
+        a, z = start[np.maximum(a - 1, 0)], start[z]
+        text = np.searchsorted(first, a, "right") - 1
+        a, z = np.maximum(a - self.wide[own] + 1, first[text]), np.minimum(z + self.wide[own] - 1, first[text + 1])
+        n = len(block) + 1
+        k = np.searchsorted(own * n + a, item * n + at, "right") - 1  # of one item the ranges come in the order of their starts and ends
+        return (k >= 0) & (own[k] == item) & (at < z[k])
+
+    def spans(self, item: np.ndarray, at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, from, to) of words: disjoint spans, by item, that hold every window in which hits suffice for the item."""
         last = np.arange(len(at)) + self.need[item] - 1
         ok = np.flatnonzero(last < len(at))
         ok = ok[(item[last[ok]] == item[ok]) & (at[last[ok]] - at[ok] < self.wide[item[ok]])]
@@ -290,33 +315,47 @@ class Items:
         return found
 
 
-def _matches(items: Items, weight: np.ndarray, basis: np.ndarray, latent: np.ndarray, cosine: float, kind):
+def _beyond(spans: tuple[np.ndarray, np.ndarray, np.ndarray], done: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans that do not lie in one of those done (of texts with n words in all)."""
+    (item, a, z), (own, b, y) = spans, done
+    k = np.searchsorted(own * (n + 1) + b, item * (n + 1) + a, "right") - 1
+    rest = np.ones(len(item), bool)
+    if len(own):
+        rest = (k < 0) | (own[k] != item) | (y[k] < z)
+    return item[rest], a[rest], z[rest]
+
+
+def _matches(items: Items, basis: np.ndarray, latent: np.ndarray, cosine: float, strict: bool, kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, terms, first, block in _parts(batches, kind):
-            rows, best = [], {}
+        for part, terms, first, block in _parts(batches, kind, 1 << 17):
+            best = {}
             if len(terms):
-                for i, a, z in zip(*(x.tolist() for x in items.spans(terms, first))):
+                y = _projected(terms, block, basis)
+                near = _candidates(y, latent, cosine)
+                item, at = items.hits(terms)
+                kept = items.around(item, at, near, first, block)
+                found = items.spans(item[kept], at[kept], first)
+                rest = [] if strict else [_beyond(items.spans(item, at, first), found, len(terms))]
+                for i, a, z in (x for some in [found, *rest] for x in zip(*(c.tolist() for c in some))):
                     got = items.best(terms[a:z], i)
                     if not got:
                         continue
-                    d = int(np.searchsorted(first, a, "right")) - 1
-                    if (d, i) in best and best[d, i][2] >= got[1]:
+                    d, s = int(np.searchsorted(first, a, "right")) - 1, a + got[0]
+                    word = s - int(first[d])
+                    if (d, i) in best and (best[d, i][2], -best[d, i][1]) >= (got[1], -word):
                         continue
-                    at = a + got[0] - int(first[d])
-                    u, v = int(first[d]) + at // BLOCK * BLOCK, min(int(first[d + 1]), int(first[d]) - (-(at + int(items.wide[i])) // BLOCK) * BLOCK)
-                    y, _, live = _passages(terms[u:v], block[u:v] - block[u], weight, basis)
-                    norm = np.linalg.norm(y, axis=1)
-                    cos = float((y[norm > 0] @ latent[i] / norm[norm > 0]).max(initial=-1.0))
-                    best[d, i] = (min(cos, 1.0), at, got[1])
+                    end = min(s + int(items.wide[i]), int(first[d + 1])) - 1
+                    cos = float((y[block[s] : block[end] + 2] @ latent[i]).max())
+                    best[d, i] = (min(cos, 1.0), word, got[1])
             ids = part.column(0).to_pylist()
-            rows = [(ids[d], items.items[i][0], cos, n / len(items.items[i][1]), at) for (d, i), (cos, at, n) in best.items() if cos >= cosine]
+            rows = [(ids[d], items.items[i][0], cos, n / len(items.items[i][1]), word) for (d, i), (cos, word, n) in best.items()]
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], ["doc_id", "item_id", "cosine", "lcs", "word"])
 
     return run
 
 
-def _block(docs: DataFrame, got: pa.Table, cosine: float, lcs: float, rank: int) -> DataFrame:
+def _block(docs: DataFrame, got: pa.Table, cosine: float, lcs: float, rank: int, strict: bool) -> DataFrame:
     answers = got["answer"] if "answer" in got.column_names else pa.nulls(len(got), pa.string())
     both = [[h[a:b] for h, first in hashed(c) for a, b in zip(first[:-1], first[1:])] for c in (got["text"], answers)]
     vocab = np.unique(np.concatenate([*both[0], *both[1], np.zeros(0, np.uint64)]))
@@ -353,7 +392,7 @@ def _block(docs: DataFrame, got: pa.Table, cosine: float, lcs: float, rank: int)
     basis = nystroem(sketch, omega.astype(float), rank)
     latent = rows(basis)
     latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-30)).astype(np.float32)
-    find = _matches(Items(items, share, lcs), weight, (weight[:, None] * basis).astype(np.float32), latent, cosine, kind)
+    find = _matches(Items(items, share, lcs), (weight[:, None] * basis).astype(np.float32), latent, cosine, strict, kind)
     return terms.mapInArrow(find, name)
 
 
@@ -364,6 +403,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.3, lcs
     blocks = max(1, -(-items.count() // item_block))
     for k in range(blocks):
         got = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
-        found = _block(docs, got, cosine if strict else -2.0, lcs, rank)
+        found = _block(docs, got, cosine, lcs, rank, strict)
         out = found if out is None else out.unionAll(found)
     return out
